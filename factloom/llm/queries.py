@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom import scratch
-from factloom.llm import sql, warc
+from factloom.llm import langid, quality, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,21 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every document from bit-sliced n-gram filters."""
+    return langid.predict_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by how well good and bad dictionaries compress it."""
+    return quality.predict_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_langid": op2_langid,
+        "op8_quality": op8_quality,
     }
 
 
