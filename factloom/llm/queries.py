@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm import langid, quality, sql, warc
+from factloom.llm import langid, mixing, quality, sharding, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +27,38 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document and names its near-duplicate component."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document by how well good and bad dictionaries compress it."""
     return quality.predict_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixes all documents to target weights; taken are the words of all copies."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.words(F.col("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaves all documents into 24 shards of equal row counts."""
+    placed = sharding.interleave(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_langid": op2_langid,
+        "op3_simhash": op3_simhash,
         "op8_quality": op8_quality,
+        "op9_mixing": op9_mixing,
+        "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": sql.OP1}
+    return {"op1_warc": sql.OP1, "op9_mixing": sql.OP9}

@@ -14,3 +14,31 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        d.url
 FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes >= 1000
 """
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s
+), o AS (
+  SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT AS budget,
+         coalesce(sum(2 * source_size) OVER b, 0)::BIGINT AS held, (sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT AS free
+  FROM w WINDOW b AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT max((budget - held) / free) AS level FROM o WHERE (budget - held) / free * weight < 2 * source_size
+), t AS (
+  SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least((2 * source_size)::DOUBLE, weight * level) END AS target FROM w, l
+), p AS (
+  SELECT d.*, t.source_size, t.target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before,
+         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
