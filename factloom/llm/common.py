@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,9 +90,17 @@ def prefix_sums(df: DataFrame, order: list[Column], value: str, name: str) -> Da
     return placed.withColumn("before", by_partition(starts, F.col("_pid")) + within).drop("_mid", "_pid")
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def filter_texts(docs: DataFrame, text: Column, keeps: Callable[[object, object], bool], model: object) -> DataFrame:
+    """The rows for whose text ``keeps(model, text)`` is true, all columns as they were. The model is broadcast."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(text.alias("_filter_text"), *[F.col(f"`{c}`") for c in docs.columns])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            keep = pa.array([keeps(held, t) for t in b.column(0).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).filter(keep)
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+    return rows.mapInArrow(run, docs.schema)

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from factloom.llm.common import short_batches
+from factloom.llm.common import filter_texts, short_batches
+from factloom.scratch import materialise
 
 #: Code points of an n-gram; slots of a filter as a power of two; hash functions.
 NGRAM, SLOT_BITS, HASHES = 4, 19, 3
@@ -26,7 +28,7 @@ NGRAM, SLOT_BITS, HASHES = 4, 19, 3
 PER_LANGUAGE = 3000
 #: An n-gram belongs to a language if this share of its documents, and two at least, hold it.
 MIN_SHARE = 0.004
-#: Texts whose best language explains less of their n-grams are rejected by ``accepted``.
+#: Texts whose best language explains less of their n-grams are rejected by ``keep_identified``.
 MIN_SCORE = 0.35
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,8 +141,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     # A row with no gram counts a document, so that shares are of the documents read.
     grams = sample.mapInArrow(count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    from factloom.scratch import materialise
-
     grams = materialise(grams, "langid-grams")
     read = {r["lang"]: r["docs"] for r in grams.where("gram is null").collect()}
     least = F.create_map(*[F.lit(x) for lang, m in read.items() for x in (lang, max(min(2, m), m * min_share))]) if read else F.create_map(F.lit(0), F.lit(1.0))
@@ -178,13 +178,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             arrays = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "lang_pred string", "score double"])
+    schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
-def accepted(lang_pred: Column, score: Column, least: float = MIN_SCORE) -> Column:
-    """Whether a text is in a learnt language."""
-    return (lang_pred != "und") & (score >= least)
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learnt language, all columns as they were. Null and letterless texts go."""
+
+    def keeps(m: Model, text: str | None) -> bool:
+        lang, score = m.predict(text)
+        return lang != "und" and score >= least
+
+    return filter_texts(docs, F.col(text_col), keeps, model)
 
 
 def predict_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from factloom.llm.common import short_batches, utf8
+from factloom.llm.common import filter_texts, short_batches, utf8
 from factloom.llm.langid import bucket
 
 #: Bytes of a window: short enough that the dictionary still matters at its end.
@@ -166,12 +167,22 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             arrays = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32())], names=[*kept, "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "score double", "predicted int"])
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.mapInArrow(run, schema)
 
 
-def predict_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they were."""
+    return filter_texts(docs, utf8(text_col), lambda m, text: m.score(text) >= threshold, model)
+
+
+def learn_from_labels(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from the labels whose bucket of four is not 2."""
+    return learn(docs, labels.where(bucket(F.col("doc_id"), 4) != 2))
+
+
+def predict_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels whose bucket of four is not 2, and score every row: doc_id, held_out, score, predicted."""
-    model = learn(docs, labels.where(bucket(F.col("doc_id"), 4) != 2), id_col)
-    held_out = (bucket(F.col(id_col), 4) == 2).alias("held_out")
-    return score(docs.select(F.col(id_col).alias("doc_id"), held_out, "text"), model, "text", ["doc_id", "held_out"])
+    model = learn_from_labels(docs, labels)
+    held_out = (bucket(F.col("doc_id"), 4) == 2).alias("held_out")
+    return score(docs.select("doc_id", held_out, "text"), model, "text", ["doc_id", "held_out"])

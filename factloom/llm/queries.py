@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm import langid, mixing, quality, sharding, simhash, sql, warc
+from factloom.llm import langid, mixing, packing, quality, sharding, simhash, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file; FACTLOOM_TOKENIZERS names another folder."""
+    if folder := os.environ.get("FACTLOOM_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all documents into sequences of 1024."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document by how well good and bad dictionaries compress it."""
     return quality.predict_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -54,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_langid": op2_langid,
         "op3_simhash": op3_simhash,
+        "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_sharding": op10_sharding,
