@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.scratch import materialise
+from factloom.ship import ship
 
 #: Rows in an Arrow batch. Texts may be very long, so batches are short.
 ARROW_ROWS = 256
@@ -17,7 +18,8 @@ _LOCAL = (1 << 33) - 1
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: at most ARROW_ROWS rows cross at once."""
+    """Make ready for Python on the executors: they get this package, and at most ARROW_ROWS rows cross at once."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

@@ -189,6 +189,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, name: str = "pack") -> Data
     Rows are numbered within their length by doc_id and piece; ties are
     interchangeable. Only the histogram of lengths comes to the driver.
     """
+    short_batches(items.sparkSession)
     placed, total = positions(items, [F.col("length"), F.col("doc_id"), F.col("piece")], name)
     histogram = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()} if total else {}
     p = plan(histogram, capacity)

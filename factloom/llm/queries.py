@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm import langid, mixing, packing, quality, sharding, simhash, sql, warc
+from factloom.llm import langid, mixing, packing, quality, sharding, simhash, sql, tokenstore, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents into a content-addressed store and reads them back from it."""
+    where = scratch.path(spark, "tokenstore")
+    tokenstore.write_store(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), where)
+    return tokenstore.verified(spark, where)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences of 1024."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -69,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_langid": op2_langid,
         "op3_simhash": op3_simhash,
+        "op4_tokenstore": op4_tokenstore,
         "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,

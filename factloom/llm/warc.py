@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from pyspark.sql.types import StructType
 
 from factloom import scratch
+from factloom.ship import ship
 
 #: Payloads of this many bytes or more are stored once.
 REVISIT_BYTES = 1000
@@ -313,6 +314,7 @@ def read_warc(spark: SparkSession, path: str, payload: str = "keep") -> DataFram
     that the HTTP header states, which a revisit states too. A header that is
     absent is null. A truncated record raises an error.
     """
+    ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", payload).load(path)
