@@ -129,7 +129,7 @@ def fit(good: list[bytes], bad: list[bytes]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
     """Fit on about ``per_class`` labelled rows of each class, chosen by hash of the id.
 
-    The sample is bounded by ``per_class`` rows and CLASS_BYTES bytes of each
+    The sample, whose ids are broadcast, is bounded by ``per_class`` rows and CLASS_BYTES bytes of each
     class, and is the only thing that comes to the driver. Rows without label
     or text teach nothing; labels other than 0 and 1 are ignored.
     """
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("_id")), F.lit(1 << 30))
     sample = marks.withColumn("draw", draw).where(F.col("draw") / float(1 << 30) < share)
-    rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("body")).join(sample, "_id").where("octet_length(body) > 0")
+    rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("body")).join(F.broadcast(sample), "_id").where("octet_length(body) > 0")
     texts: dict[int, list[tuple]] = {0: [], 1: []}
     held = {0: 0, 1: 0}
     for r in rows.select("label", "draw", "_id", "body").toLocalIterator():
