@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import scratch
-from factloom.llm import langid, mixing, packing, quality, sharding, simhash, sql, tokenstore, warc
+from factloom.llm import jpeg, langid, mixing, packing, quality, sharding, simhash, sketch, sql, tokenstore, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,18 @@ def op4_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.verified(spark, where)
 
 
+def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches every document, its edited text and the next document."""
+    return sketch.edited_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every document as a baseline JPEG and reads dimensions, thumbnail and digests back."""
+    found = jpeg.features(jpeg.to_media(_table(spark, sf_dir, "documents")))
+    feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), "thumbnail_hash", F.lit(":"), "thumbnails_sha1")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences of 1024."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -77,6 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op3_simhash": op3_simhash,
         "op4_tokenstore": op4_tokenstore,
+        "op5_sketch": op5_sketch,
+        "op6_jpeg": op6_jpeg,
         "op7_packing": op7_packing,
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
