@@ -99,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": sql.OP1, "op9_mixing": sql.OP9}
+    return {"op1_warc": sql.OP1, "op9_mixing": sql.OP9, "op10_sharding": sql.OP10}

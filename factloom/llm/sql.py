@@ -42,3 +42,22 @@ SELECT doc_id, size, source_size, target,
        (size * (epochs + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p
 """
+
+#: CRC-32 of a blob column ``body`` by a table that its polynomial gives.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(body), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP10 = f"""
+WITH d AS (
+  SELECT doc_id, source, encode(coalesce(text, '')) AS body, md5('shard:' || coalesce(doc_id::VARCHAR, '')) AS key, tbl
+  FROM documents, (SELECT {_CRC_TABLE} AS tbl)
+), c AS (
+  SELECT doc_id, source, key, octet_length(body)::BIGINT + 8 AS size, CAST({_CRC} AS BIGINT) AS text_crc32 FROM d
+), f AS (
+  SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS fraction FROM c
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, key, doc_id, text_crc32) - 1 AS place, count(*) OVER () AS n FROM f
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 24 // n AS INT) AS shard, place - (place * 24 // n * n + 23) // 24 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM p
+"""
