@@ -17,9 +17,10 @@ from functools import lru_cache
 _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 #: A character outside letters, ASCII and signs that are neither space nor number.
 _ODD = re.compile(f"[^\\n -~{_L}¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€]")
+_ODD_ASCII = re.compile("[^\\n -~]")
 _PARTS = re.compile(f" ?[{_L}]+|[^{_L}]+")
-#: Entries of each cache; a full cache is kept as it is.
-CACHE = 200_000
+#: Entries of each cache, some 300 MB in all when full; a full cache is kept as it is.
+CACHE = 700_000
 
 
 @lru_cache(maxsize=4)
@@ -28,18 +29,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class _Cache(dict):
-    """What ``make`` returns for a key; kept while there is room."""
+def _word_cache(encoder: Encoder, before: str = "") -> dict[str, bytes]:
+    """Word -> ids, made when first asked for and kept while there is room. ``before`` stands ahead of each word."""
+    table, model, letters, signs, whole, room = encoder.table, encoder.model, encoder.letters, encoder.signs, encoder.whole, CACHE
 
-    def __init__(self, make, room: int):
-        super().__init__()
-        self.make, self.room = make, room
+    def of_letters(piece: str) -> bytes:
+        ids = letters.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in model(piece)]).tobytes()
+            if len(letters) < room:
+                letters[piece] = ids
+        return ids
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(self) < self.room:
-            self[key] = value
-        return value
+    class Words(dict):
+        def __missing__(self, key: str) -> bytes:
+            word = before + key
+            if key.isalpha():
+                ids = of_letters(word.translate(table))
+            elif "'" in word or "\n\n" in word:
+                ids = whole(word)
+            else:
+                ids = b"".join([of_letters(p.translate(table)) if p[-1].isalpha() else signs(p) for p in _PARTS.findall(word)])
+            if len(self) < room:
+                self[key] = ids
+            return ids
+
+    return Words()
 
 
 class Encoder:
@@ -52,26 +67,28 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self._normalize = self.library.normalizer.normalize_str if self.library.normalizer else str
-        self._pretokens = self.library.pre_tokenizer.pre_tokenize_str
-        self._model = self.library.model.tokenize
+        normalize = self.library.normalizer.normalize_str if self.library.normalizer else str
+        pretokens = self.library.pre_tokenizer.pre_tokenize_str
+        self.model = self.library.model.tokenize
         #: What a letter (or the space before it) becomes ahead of the model, as the library has it.
-        letters = [c for c in map(chr, range(0x250)) if re.match(f"[{_L}]", c)]
-        self._table = {ord(c): "".join(piece for piece, _ in self._pretokens(self._normalize(c))) for c in letters}
-        self._table[32] = "".join(piece for piece, _ in self._pretokens(" a"))[:-1]
+        known = [c for c in map(chr, range(0x250)) if re.match(f"[{_L}]", c)]
+        self.table = {ord(c): "".join(piece for piece, _ in pretokens(normalize(c))) for c in known}
+        self.table[32] = "".join(piece for piece, _ in pretokens(" a"))[:-1]
+        #: The ids of runs of letters as they reach the model, and of runs of signs.
+        self.letters: dict[str, bytes] = {}
+        self.signs = lru_cache(10_000)(lambda part: array("I", [t.id for piece, _ in pretokens(normalize(part)) for t in self.model(piece)]).tobytes())
         #: Whether spaces belong to ids (byte-level) or are dropped (words with ends).
         self.spaced = self.whole("a  b") != self.whole("a b")
-        self.parts = _Cache(self._part, CACHE)
-        #: Words at the start of a text, and words after a space.
-        self.first = _Cache(self._word, CACHE)
-        self.later = _Cache(lambda w: self._word(" " + w), CACHE) if self.spaced else self.first
+        self.first = _word_cache(self)
+        #: Words after a space.
+        self.later = _word_cache(self, " ") if self.spaced else self.first
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def certain(self, text: str) -> bool:
         """Whether every space of the text is a border between pre-tokens in any context."""
-        if "<|" in text or _ODD.search(text):
+        if "<|" in text or (_ODD_ASCII if text.isascii() else _ODD).search(text):
             return False
         return not self.spaced or not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ")
 
@@ -86,14 +103,3 @@ class Encoder:
         start, _, rest = text.partition(" ")
         ids = self.first[start]
         return ids + b"".join(map(self.later.__getitem__, rest.split(" "))) if rest else ids
-
-    def _word(self, word: str) -> bytes:
-        if "'" in word or "\n\n" in word:
-            return self.whole(word)
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word)))
-
-    def _part(self, part: str) -> bytes:
-        """A run of letters, or of signs: the library's normaliser, pre-tokenizer and model in turn."""
-        if part.isalpha() or part[1:].isalpha() and part[0] == " ":
-            return array("I", [t.id for t in self._model(part.translate(self._table))]).tobytes()
-        return array("I", [t.id for piece, _ in self._pretokens(self._normalize(part)) for t in self._model(piece)]).tobytes()

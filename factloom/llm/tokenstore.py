@@ -33,7 +33,7 @@ END_ID = 2
 WINDOW, LEAST, USUAL, MOST = 16, 64, 512, 4096
 #: Digests that a task remembers so as to send each chunk only once.
 REMEMBERED = 200_000
-LEVEL = 3
+LEVEL = 1
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
