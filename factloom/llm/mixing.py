@@ -87,5 +87,7 @@ def mixed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # Rows that agree in id, source and size are told apart by their number among them.
     most = materialise(taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_mix_copies")).withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source", "size": "_mix_size"}), "mix-taken")
     rows = docs.withColumn("_mix_words", words(F.col(text_col)))
+    # Alike at every size: both sides are dealt out by their keys, however small one is.
+    most = most.hint("merge")
     joined = rows.join(most, rows[id_col].eqNullSafe(most["_mix_id"]) & rows[source_col].eqNullSafe(most["_mix_source"]) & (rows["_mix_words"] == most["_mix_size"]))
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -236,7 +236,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     found = _members(docs, id_col, text_col, distance, shingle)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first"))
     stay = materialise(least.select(F.col("first.id").alias("_stay_id"), F.col("first.body").alias("_stay_body")), "simhash-stay")
-    marked = docs.withColumn("_row_body", F.xxhash64(utf8(text_col)))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["_stay_id"]) & (marked["_row_body"] == stay["_stay_body"]), "left_semi")
-    once = Window.partitionBy(F.col(id_col), F.col("_row_body")).orderBy(F.lit(0))
+    # One key serves the join and the window, so texts are dealt out once, alike at every size.
+    stay = stay.withColumn("_stay_key", F.xxhash64("_stay_id", "_stay_body")).hint("merge")
+    marked = docs.withColumn("_row_body", F.xxhash64(utf8(text_col))).withColumn("_row_key", F.xxhash64(F.col(id_col), "_row_body"))
+    # Written so that only the key deals rows out; the rest is tested on rows that meet.
+    same_id = F.coalesce(marked[id_col] == stay["_stay_id"], marked[id_col].isNull() & stay["_stay_id"].isNull())
+    same = (marked["_row_key"] == stay["_stay_key"]) & same_id & (marked["_row_body"].bitwiseXOR(stay["_stay_body"]) == 0)
+    kept = marked.join(stay, same, "left_semi")
+    once = Window.partitionBy("_row_key", F.col(id_col), "_row_body").orderBy(F.lit(0))
     return kept.withColumn("_row_once", F.row_number().over(once)).where("_row_once = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
