@@ -233,7 +233,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     Null ids count as largest; among rows with that id, the one with the least
     hash of its text stays, and of wholly repeated rows one.
     """
-    found = _members(docs, id_col, text_col, distance, shingle)
+    return keep_least(docs, _members(docs, id_col, text_col, distance, shingle), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each root, given the id, body and root of every row."""
     least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first"))
     stay = materialise(least.select(F.col("first.id").alias("_stay_id"), F.col("first.body").alias("_stay_body")), "simhash-stay")
     # One key serves the join and the window, so texts are dealt out once, alike at every size.
