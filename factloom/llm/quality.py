@@ -79,14 +79,15 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, *pairs])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, each halved until the loss falls."""
-    loss = lambda w: np.logaddexp(0, (1 - 2 * y) * (x @ w)).sum() + ridge * (w @ w) / 2
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100, each: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls; ``each`` row counts so often (1)."""
+    each = np.ones(len(y)) if each is None else each
+    loss = lambda w: each @ np.logaddexp(0, (1 - 2 * y) * (x @ w)) + ridge * (w @ w) / 2
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = _sigmoid(x @ w)
-        grad = x.T @ (p - y) + ridge * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        grad = x.T @ (each * (p - y)) + ridge * w
+        hess = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step, now = np.linalg.solve(hess, grad), loss(w)
         while loss(w - step) > now and np.abs(step).max() > 1e-9:
             step = step / 2
@@ -108,11 +109,12 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b""
 
 
-def fit(good: list[bytes], bad: list[bytes]) -> Model:
+def fit(good: list[bytes], bad: list[bytes], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Half of each class builds its dictionary and the other half the calibration, then the halves change places.
 
     The calibration that is kept is of both halves; the dictionaries that are
     kept are of the first. With one class only, every text scores as that class.
+    ``weights``: how many labelled texts a good and a bad one stand for.
     """
     good, bad = [t for t in good if t], [t for t in bad if t]
     if not good or not bad:
@@ -121,8 +123,10 @@ def fit(good: list[bytes], bad: list[bytes]) -> Model:
     model = Model(dictionary(half(good, 0)), dictionary(half(bad, 0)), [], [0.0] * 5, [1.0] * 5)
     raw = np.array([model.features(t) for t in [*half(good, 1), *half(bad, 1)]])
     y = np.array([1.0] * len(half(good, 1)) + [0.0] * len(half(bad, 1)))
-    model.centre, model.scale = raw.mean(0).tolist(), (raw.std(0) + 1e-9).tolist()
-    model.weights = logistic(expand((raw - model.centre) / model.scale), y).tolist()
+    each = np.where(y == 1, *weights)
+    centre = np.average(raw, axis=0, weights=each)
+    model.centre, model.scale = centre.tolist(), (np.sqrt(np.average((raw - centre) ** 2, axis=0, weights=each)) + 1e-9).tolist()
+    model.weights = logistic(expand((raw - model.centre) / model.scale), y, each=each).tolist()
     return model
 
 
@@ -130,23 +134,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``per_class`` labelled rows of each class, chosen by hash of the id.
 
     The sample, whose ids are broadcast, is bounded by ``per_class`` rows and CLASS_BYTES bytes of each
-    class, and is the only thing that comes to the driver. Rows without label
-    or text teach nothing; labels other than 0 and 1 are ignored.
+    class, and is the only thing that comes to the driver. Each row counts for
+    as many as it was drawn from, so the chance of a class does not depend on
+    the bounds. Rows without label or text teach nothing; labels other than 0
+    and 1 are ignored.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
+    shares = {c: min(1.0, per_class / max(1, counts.get(c, 0))) for c in (0, 1)}
+    share = F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("_id")), F.lit(1 << 30))
     sample = marks.withColumn("draw", draw).where(F.col("draw") / float(1 << 30) < share)
     rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("body")).join(F.broadcast(sample), "_id").where("octet_length(body) > 0")
     texts: dict[int, list[tuple]] = {0: [], 1: []}
-    held = {0: 0, 1: 0}
+    held, drawn = {0: 0, 1: 0}, {0: 0, 1: 0}
     for r in rows.select("label", "draw", "_id", "body").toLocalIterator():
         body = bytes(r["body"])
+        drawn[r["label"]] += 1
         if held[r["label"]] + len(body) <= CLASS_BYTES:
             held[r["label"]] += len(body)
             texts[r["label"]].append((r["draw"], r["_id"], body))
-    return fit([b for *_, b in sorted(texts[1])], [b for *_, b in sorted(texts[0])])
+    stand_for = {c: drawn[c] / max(1, len(texts[c])) / shares[c] for c in (0, 1)}
+    return fit([b for *_, b in sorted(texts[1])], [b for *_, b in sorted(texts[0])], (stand_for[1], stand_for[0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
