@@ -452,12 +452,28 @@ def graph_misplacement(spark, d):
 )
 def gate_boundary(spark, d):
     nodes, edges = _graph(spark, d)
-    owners = materialise(graph.partition(nodes), "owners")
+    facts, _ = _boundary_facts(edges, nodes, materialise(graph.partition(nodes), "owners"))
+    return gate.boundary_verdicts(facts, foreign_percent=20).drop("rationale")
+
+
+def _boundary_facts(edges, nodes, owners):
+    """The facts of misplacement and cohesion, and their columns as nulls."""
     none = {c: F.lit(None).cast("bigint") for c in ("members", "partitions", "foreign", "total", "internal", "boundary")} | {"cyclic": F.lit(None).cast("boolean")}
     m = graph.misplacement(nodes, edges, owners)
     m = m.select(F.concat(F.lit("m"), "symbol", F.lit("/"), "foreign_owner").alias("fact_ord"), F.lit("misplacement").alias("kind"), "foreign", "total").withColumns({c: v for c, v in none.items() if c not in ("foreign", "total")})
     c = graph.cohesion(edges, owners).select(F.concat(F.lit("c"), "owner").alias("fact_ord"), F.lit("cohesion").alias("kind"), "internal", "boundary").withColumns({k: v for k, v in none.items() if k not in ("internal", "boundary")})
-    return gate.boundary_verdicts(m.unionByName(c), foreign_percent=20).drop("rationale")
+    return m.unionByName(c), none
+
+
+@query("gate_boundary_whole")
+def gate_boundary_whole(spark, d):
+    """As gate_boundary, with the facts of strong components: all four rules. Components are beyond the SQL of gate_boundary."""
+    nodes, edges = _graph(spark, d)
+    edges, owners = materialise(edges, "edges"), materialise(graph.partition(nodes), "owners")
+    facts, none = _boundary_facts(edges, nodes, owners)
+    s = graph.component_facts(materialise(graph.strong_components(nodes, edges), "components"), owners)
+    s = s.select(F.concat(F.lit("s"), "component").alias("fact_ord"), F.lit("component").alias("kind"), "members", "partitions", "cyclic").withColumns({k: v for k, v in none.items() if k not in ("members", "partitions", "cyclic")})
+    return gate.boundary_verdicts(facts.unionByName(s), foreign_percent=20).drop("rationale")
 
 
 @query("graph_neighbors", f"{_OWN}, s AS (SELECT DISTINCT src AS a, dst AS b FROM e) SELECT a AS seed, b AS node, 1 AS distance FROM s JOIN n ON a = node WHERE category = 'type' AND a <> b")
