@@ -530,6 +530,38 @@ def graph_connected_components(spark, d):
     return graph.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+# The same over the whole graph. The SQL above closes over all pairs, so it stays with the graph of nations.
+
+
+def _whole(spark, d):
+    nodes, edges = _graph(spark, d)
+    return materialise(nodes, "nodes"), materialise(edges, "edges")
+
+
+@query("graph_strong_components_whole")
+def graph_strong_components_whole(spark, d):
+    return graph.strong_components(*_whole(spark, d))
+
+
+@query("graph_condensation_whole")
+def graph_condensation_whole(spark, d):
+    nodes, edges = _whole(spark, d)
+    return graph.condensation(edges, materialise(graph.strong_components(nodes, edges), "components"))
+
+
+@query("graph_topological_order_whole")
+def graph_topological_order_whole(spark, d):
+    nodes, edges = _whole(spark, d)
+    found = materialise(graph.strong_components(nodes, edges), "components")
+    return graph.topological_order(graph.condensation(edges, found), found)
+
+
+@query("graph_connected_components_whole")
+def graph_connected_components_whole(spark, d):
+    _, edges = _whole(spark, d)
+    return graph.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 # ---------------------------------------------------------------- supply chain
 
 _ATT = f"WITH p AS ({A.sql(A.ATTESTATIONS)}), t AS (SELECT name, version, CAST(split_part(version, '.', 2) AS INT) * 100 + CAST(split_part(version, '.', 3) AS INT) AS v, md5(string_agg(concat_ws('|', ord, capability, evidence), ';' ORDER BY concat_ws('|', ord, capability, evidence))) AS source_hash, list_sort(list(DISTINCT capability)) AS capabilities, CAST(sum(skipped) AS BIGINT) AS skipped FROM p GROUP BY name, version), b AS (SELECT * FROM t WHERE v < 300)"

@@ -45,3 +45,26 @@ def test_boundary_gate_judges_components(spark, plain):
             want[(f"s{c}", 1, "boundary-crossing-scc", "deny")] += 1
     got = Counter(map(tuple, Q.queries()["gate_boundary_whole"](spark, DATA).collect()))
     assert got == Counter({tuple(k): v for k, v in want.items()}) and {r for _, r, *_ in got} >= {0, 1}
+
+
+def test_components_condensation_and_order(spark, plain):
+    names, arcs, component = plain
+    run = lambda name: Q.queries()[f"graph_{name}_whole"](spark, DATA).collect()
+    size = Counter(component.values())
+    assert {r.node: (r.component, r.cyclic) for r in run("strong_components")} == {n: (c, size[c] > 1) for n, c in component.items()}
+    links = defaultdict(list)
+    for i, a, b in arcs:
+        if component[a] != component[b]:
+            links[component[a], component[b]].append(i)
+    assert {(r.source, r.target): (r.edges, r.first_edge) for r in run("condensation")} == {k: (len(v), min(v)) for k, v in links.items()}
+    place = {r.component: r.place for r in run("topological_order")}
+    assert sorted(place) == sorted(size) and sorted(place.values()) == list(range(len(size))) and all(place[a] < place[b] for a, b in links)
+    least = {n: n for _, *ends in arcs for n in ends}
+    moved = True
+    while moved:
+        moved = False
+        for _, a, b in arcs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                moved = True
+    assert {r.node: r.component for r in run("connected_components")} == least and len(least) > 25
