@@ -29,6 +29,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2`` and so on that no column of ``df`` has, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(held) + 2))) if n.lower() not in held)
+
+
 def nulls_last(name: str) -> list[Column]:
     return [F.col(name).isNull(), F.col(name)]
 
@@ -38,11 +44,14 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b""))
 
 
+def literal_longs(values: list[int]) -> Column:
+    """An array of longs that stands in the plan as one literal, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def by_partition(totals: dict[int, int], pid: Column) -> Column:
     """Look a partition's value up in a literal array: its size is the number of partitions."""
-    top = max(totals, default=-1)
-    values = F.array(*[F.lit(totals.get(i, 0)).cast("bigint") for i in range(top + 1)]) if top >= 0 else F.array(F.lit(0).cast("bigint"))
-    return F.get(values, pid.cast("int"))
+    return F.get(literal_longs([totals.get(i, 0) for i in range(max(totals, default=0) + 1)]), pid.cast("int"))
 
 
 def positions(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, int]:
@@ -97,7 +106,7 @@ def filter_texts(docs: DataFrame, text: Column, keeps: Callable[[object, object]
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(text.alias("_filter_text"), *[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(text.alias(spare(docs, "_filter_text")), *[F.col(f"`{c}`") for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value

@@ -21,10 +21,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from factloom.llm.common import short_batches, utf8
+from factloom.llm.common import short_batches, spare, utf8
+from factloom.llm.rows import finder, with_places
 from factloom.scratch import materialise
 
 SHINGLE, BITS, DISTANCE = 4, 64, 4
@@ -65,17 +67,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, fp (the fingerprint's bits as a signed long) and body (XXH64 of the text) of every row; null text is empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, fp (the fingerprint's bits as a signed long), body (XXH64 of the text) and the ``carried`` columns of every row; null text is empty."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), b.column(2)], names=["id", "fp", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("body"))
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, fp long, body long")
+    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("body"), *[F.col(c) for c in carried])
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("fp", LongType()), *rows.schema[2:]]))
 
 
 # ---------------------------------------------------------------- blocks
@@ -204,8 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(seen)
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int) -> DataFrame:
-    marks = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+def _members(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    marks = materialise(fingerprints(docs, id_col, text_col, shingle, carried), "simhash-fp")
     classes = materialise(marks.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     found = components(links(classes.select("fp"), distance))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -233,19 +235,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     Null ids count as largest; among rows with that id, the one with the least
     hash of its text stays, and of wholly repeated rows one.
     """
-    return keep_least(docs, _members(docs, id_col, text_col, distance, shingle), id_col, text_col)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each root, given the id, body and root of every row."""
-    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first"))
-    stay = materialise(least.select(F.col("first.id").alias("_stay_id"), F.col("first.body").alias("_stay_body")), "simhash-stay")
-    # One key serves the join and the window, so texts are dealt out once, alike at every size.
-    stay = stay.withColumn("_stay_key", F.xxhash64("_stay_id", "_stay_body")).hint("merge")
-    marked = docs.withColumn("_row_body", F.xxhash64(utf8(text_col))).withColumn("_row_key", F.xxhash64(F.col(id_col), "_row_body"))
-    # Written so that only the key deals rows out; the rest is tested on rows that meet.
-    same_id = F.coalesce(marked[id_col] == stay["_stay_id"], marked[id_col].isNull() & stay["_stay_id"].isNull())
-    same = (marked["_row_key"] == stay["_stay_key"]) & same_id & (marked["_row_body"].bitwiseXOR(stay["_stay_body"]) == 0)
-    kept = marked.join(stay, same, "left_semi")
-    once = Window.partitionBy("_row_key", F.col(id_col), "_row_body").orderBy(F.lit(0))
-    return kept.withColumn("_row_once", F.row_number().over(once)).where("_row_once = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, file, at = with_places(docs)
+    return keep_least(rows, _members(rows, id_col, text_col, distance, shingle, (file, at)), file, at)
+
+
+def keep_least(rows: DataFrame, found: DataFrame, file: str, at: str) -> DataFrame:
+    """The row with the smallest id of each root, given the id, body, root and place of every row. Texts are not dealt out."""
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body", file, at)).alias("first"))
+    find = finder(least.select(F.col(f"first.{file}"), F.col(f"first.{at}")), file, at, [], "simhash-stay")
+    stays = spare(rows, "_stays")
+    return rows.withColumn(stays, find(F.col(file), F.col(at))).where(F.col(f"{stays}.found")).drop(file, at, stays)
