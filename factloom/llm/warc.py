@@ -13,7 +13,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,12 +22,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from pyspark.sql.types import StructType
 
 from factloom import scratch
+from factloom.llm.rows import filesystem, finder, with_places
 from factloom.ship import ship
 
 #: Payloads of this many bytes or more are stored once.
 REVISIT_BYTES = 1000
-#: Duplicate groups whose table is broadcast; beyond it the rows are shuffled on the digest.
-BROADCAST_GROUPS = 50_000
 
 _CRLF = "\r\n"
 
@@ -41,23 +39,21 @@ SCHEMA = (
 # ---------------------------------------------------------------- writing
 
 
-def plan_revisits(pages: DataFrame, id_col: str, payload_col: str, at_least: int = REVISIT_BYTES) -> DataFrame:
-    """One row for each payload that several pages share: ``sha256`` and ``response`` (their largest id).
+def plan_revisits(rows: DataFrame, file: str, at: str, id_col: str, payload_col: str, at_least: int = REVISIT_BYTES) -> DataFrame:
+    """file, at and response (an id) of each row that revisits another's payload; ``rows`` have their places.
 
-    Null payloads are empty; a null id counts as smaller than any other and is
-    the response only where all ids of its group are null. Payloads are compared
-    by SHA-256, since SHA-1 values can be made to collide.
+    Of the rows whose payloads are equal and of ``at_least`` bytes, those with
+    the largest id are responses. Null payloads are empty; a null id counts as
+    smaller than any other and is the response only where all ids of its group
+    are null. Payloads are compared by SHA-256, since SHA-1 values can be made
+    to collide; only digests, ids and places are dealt out, and a payload that
+    very many rows share is summed up before it is.
     """
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    return (
-        pages.select(F.col(id_col).alias("id"), body.alias("body"))
-        .where(F.octet_length("body") >= at_least)
-        .select("id", F.sha2("body", 256).alias("sha256"))
-        .groupBy("sha256")
-        .agg(F.max("id").alias("response"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .select("sha256", "response")
-    )
+    marked = rows.select(F.col(id_col).alias("id"), body.alias("body"), F.col(file), F.col(at)).where(F.octet_length("body") >= at_least)
+    marked = scratch.materialise(marked.select("id", F.sha2("body", 256).alias("sha256"), file, at), "warc-digests")
+    groups = marked.groupBy("sha256").agg(F.max("id").alias("response"), F.count("*").alias("copies")).where("copies > 1 and response is not null")
+    return marked.join(groups, "sha256").where("id is null or id < response").select(file, at, "response")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", date: str = "2000-01-01T00:00:00Z", at_least: int = REVISIT_BYTES) -> None:
@@ -65,17 +61,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
 
     Of the rows whose payloads are equal and at least ``at_least`` bytes, those
     with the largest id are responses and the others revisit them; shorter ones
-    are all responses. A null payload is empty, a null URI is left out, control
-    characters in a URI are percent-encoded. An empty table writes no record.
-    Columns that are not named are ignored.
+    are all responses. Ids are whole numbers. A null payload is empty, a null
+    URI is left out, control characters in a URI are percent-encoded. Rows that
+    repeat are a record each. An empty table writes no record. Columns that are
+    not named are ignored. Payloads are not dealt out.
     """
-    groups = scratch.materialise(plan_revisits(pages, id_col, payload_col, at_least), "warc-groups")
-    few = groups.count() <= BROADCAST_GROUPS
+    rows, file, at = with_places(pages)
+    find = finder(plan_revisits(rows, file, at, id_col, payload_col, at_least), file, at, ["response"], "warc-revisits")
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), body.alias("body"))
-    rows = rows.withColumn("sha256", F.when(F.octet_length("body") >= at_least, F.sha2("body", 256)))
-    rows = rows.join(F.broadcast(groups) if few else groups, "sha256", "left")
-    revisit = F.col("response").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("response")))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), body.alias("body"), find(F.col(file), F.col(at)).alias("hit"))
+    rows = rows.select("id", "uri", "body", F.col("hit.found").alias("revisit"), F.col("hit.response").alias("response"))
+    revisit = F.col("revisit")
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("uri", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x20\\x7f]", "%20")
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.octet_length("body").cast("string"), F.lit(_CRLF * 2)
@@ -109,17 +105,10 @@ class Files(InputPartition):
     files: tuple[tuple[str, int], ...]
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def _listed(path: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
-    store, at = _filesystem(path)
+    store, at = filesystem(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
@@ -139,16 +128,26 @@ def headers(stream) -> dict[str, str] | None:
         raise ValueError(f"not the start of a WARC record: {line[:60]!r}")
     out: dict[str, str] = {}
     last = None
-    while (line := stream.readline()) and line.strip():
+    while (line := stream.readline()).strip():
         if line[:1] in b" \t" and last:  # a continued value
             out[last] += " " + line.strip().decode("utf-8", "replace")
             continue
         name, _, value = line.decode("utf-8", "replace").partition(":")
         last = name.strip().lower()
         out[last] = value.strip()
+    if not line:
+        raise ValueError("a WARC record ends within its header")
     return out
 
 
+def _skip(stream, length: int) -> None:
+    """Move past bytes that must be there: a seek alone would go past the end of a cut file unnoticed."""
+    if length > 0:
+        stream.seek(length - 1, io.SEEK_CUR)
+        if not stream.read(1):
+            raise ValueError("a WARC record ends before its length")
+
+
 #: Columns that a header holds, so that predicates on them need no payload.
 _HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "content_type": "content-type"}
 
@@ -174,7 +173,7 @@ def records(stream, tests: list[tuple] = (), payload: str = "keep"):
     while (head := headers(stream)) is not None:
         length = int(head.get("content-length", 0))
         if not _holds(tests, head):
-            stream.seek(length, io.SEEK_CUR)
+            _skip(stream, length)
             continue
         http_length, body, sha1 = None, None, None
         left = length
@@ -186,10 +185,8 @@ def records(stream, tests: list[tuple] = (), payload: str = "keep"):
                 name, _, value = line.partition(b":")
                 if name.lower() == b"content-length":
                     http_length = int(value)
-        if payload == "skip":
-            stream.seek(left, io.SEEK_CUR)
-        elif head.get("warc-type") == "revisit":
-            stream.seek(left, io.SEEK_CUR)
+        if payload == "skip" or head.get("warc-type") == "revisit":
+            _skip(stream, left)
         else:
             if len(data := stream.read(left)) != left:
                 raise ValueError("a WARC record ends before its length")
@@ -242,7 +239,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Files):
         schema = _arrow_schema()
         for path, _ in partition.files:
-            store, at = _filesystem(path)
+            store, at = filesystem(path)
             raw = store.open_input_file(at)
             buffered = io.BufferedReader(raw, 1 << 20)
             if buffered.peek(2)[:2] == b"\x1f\x8b":
