@@ -8,15 +8,17 @@ of very unequal length.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shuffle_partitions
+from factloom.llm.common import literal_longs, shuffle_partitions, spare
 
 #: Words of a shingle; one hash in FRACTION is retained (a power of two).
-SHINGLE, FRACTION = 5, 8
+SHINGLE, FRACTION = 5, 2
 #: Stretches of ids for each shuffle partition, so that chance leaves no partition with many more than another.
 STRETCHES = 16
 
@@ -28,7 +30,7 @@ def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, fra
     text of fewer words than a shingle is one shingle; null and wordless texts
     have an empty sketch.
     """
-    words = f"_{name}_words"
+    words = spare(df, f"_{name}_words")
     if fraction & (fraction - 1) or fraction < 2:
         raise ValueError("fraction is a power of two")
     plain = F.lower(F.coalesce(F.col(text), F.lit("")))
@@ -65,15 +67,17 @@ def merged(sketches: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(sketches))))
 
 
-def _stretch(column: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most the value: two short searches, of about the root of their number."""
+def _stretch(column: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value: two short searches, of about the root of their number.
+
+    The bounds stand in the plan as two literals, however many there are.
+    """
     width = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     if not groups:
         return F.lit(0).cast("bigint")
-    kind = "array<bigint>"
-    heads = F.array(*[F.lit(g[0]) for g in groups]).cast(kind)
-    tails = F.array(*[F.array(*[F.lit(x) for x in g[1:]]).cast(kind) for g in groups])
+    heads = literal_longs([g[0] for g in groups])
+    tails = F.from_json(F.lit(json.dumps([g[1:] for g in groups])), "array<array<bigint>>")
     group = F.size(F.filter(heads, lambda b: b <= column))
     within = F.size(F.filter(F.get(tails, group - 1), lambda b: b <= column))
     return F.when(column.isNull() | (group == 0), 0).otherwise((group - 1) * width + 1 + within).cast("bigint")
@@ -84,28 +88,39 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
 
     Ids are whole numbers; null ids come first, and rows that share an id are
     ordered by hash of the carried columns. Ids are cut into stretches at their
-    approximate quantiles; each stretch also gets the first row of the next
+    approximate quantiles; an id (or null) that holds several quantiles is cut
+    further, by that hash. Each stretch also gets the first row of the next
     one, so that every row finds its successor beside it. One number for each
     stretch comes to the driver, and rows are shuffled once.
     """
     spark = docs.sparkSession
     count = shuffle_partitions(spark) * STRETCHES
     steps = [i / count for i in range(1, count)]
-    found = docs.select(F.percentile_approx(F.col(id_col).cast("bigint"), steps, 10 * count).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    placed = docs.withColumn("_stretch", _stretch(F.col(id_col).cast("bigint"), bounds))
-    firsts = placed.select("_stretch", F.col(id_col).cast("bigint").alias("id")).groupBy("_stretch").agg(F.min(F.struct(F.col("id").isNotNull().alias("there"), "id")).alias("first"))
-    starts = sorted((r["_stretch"], r["first"]["id"]) for r in firsts.collect())
+    id_ = F.col(id_col).cast("bigint")
+    found = docs.select(id_.alias("id")).agg(F.percentile_approx("id", steps, 10 * count).alias("q"), F.count("*").alias("rows"), F.count("id").alias("there")).first()
+    held = Counter(found["q"] or [])
+    hot = {q: n for q, n in held.items() if n > 1}
+    nulls = 1 + (found["rows"] - found["there"]) * count // max(1, found["rows"])
+    at, tie, sent = spare(docs, "_at"), spare(docs, "_tie"), spare(docs, "_sent")
+    # Hashes are made not negative, so that their high bits cut a hot id into ranges of them.
+    placed = docs.withColumn(tie, F.xxhash64(*carried).bitwiseAND(F.lit((1 << 63) - 1)))
+    pieces = F.try_element_at(F.map_from_arrays(literal_longs(list(hot)), literal_longs(list(hot.values()))), id_) if hot else F.lit(None).cast("bigint")
+    pieces = F.when(id_.isNull(), F.lit(nulls).cast("bigint")).otherwise(F.coalesce(pieces, F.lit(0).cast("bigint")))
+    # Null ids are stretches of their own; so are hot ids, ahead of the greater ids up to the next quantile.
+    piece = F.when(pieces > 0, F.shiftright(F.shiftright(F.col(tie), 39) * pieces, 24)).otherwise(F.lit(1 << 24)).cast("bigint")
+    placed = placed.withColumn(at, F.when(id_.isNull(), piece).otherwise((_stretch(id_, sorted(held)) + 1) * (1 << 25) + piece))
+    firsts = placed.groupBy(at).agg(F.min(F.struct(id_.alias("id"), F.col(tie).alias("tie"))).alias("first"))
+    starts = sorted((r[at], r["first"]["id"], r["first"]["tie"]) for r in firsts.collect())
     # The first row of a stretch goes to the stretch before it too, that of the first stretch to the last.
-    lent = spark.createDataFrame([(None if i is None else int(i), int(starts[k - 1][0])) for k, (_, i) in enumerate(starts)], "_lent_id bigint, _lent_to bigint")
-    sent = placed.join(F.broadcast(lent), F.col(id_col).cast("bigint").eqNullSafe(F.col("_lent_id")), "left")
-    own = F.struct(F.col("_stretch").alias("at"), F.lit(0).alias("copy"))
-    to = F.when(F.col("_lent_to").isNotNull(), F.array(own, F.struct(F.col("_lent_to").alias("at"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    dealt = sent.withColumn("_sent", F.explode(to)).drop("_stretch", "_lent_id", "_lent_to")
-    dealt = dealt.select("*", F.col("_sent.at").alias("_at"), F.col("_sent.copy").alias("_copy"), F.xxhash64(*carried).alias("_tie")).drop("_sent")
-    order = Window.partitionBy("_at").orderBy("_copy", F.col(id_col).asc_nulls_first(), "_tie")
-    led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
-    return led.where("_copy = 0").drop("_at", "_copy", "_tie")
+    lent = spark.createDataFrame([(i, t, starts[k - 1][0]) for k, (_, i, t) in enumerate(starts)], "_lent_id bigint, _lent_tie bigint, _lent_to bigint")
+    lent = lent.groupBy("_lent_id", "_lent_tie").agg(F.collect_set("_lent_to").alias("_lent_to"))
+    mixed = placed.join(lent, id_.eqNullSafe(F.col("_lent_id")) & (F.col(tie) == F.col("_lent_tie")), "left")
+    own = F.array(F.struct(F.col(at).alias("at"), F.lit(0).alias("copy")))
+    others = F.transform(F.coalesce("_lent_to", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("copy")))
+    dealt = mixed.withColumn(sent, F.explode(F.concat(own, others)))
+    order = Window.partitionBy(F.col(f"{sent}.at")).orderBy(F.col(f"{sent}.copy"), id_.asc_nulls_first(), tie)
+    led = dealt.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{sent}.copy").alias(at), *[F.lead(c).over(order).alias(f"next_{c}") for c in carried])
+    return led.where(F.col(at) == 0).drop(at)
 
 
 def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,11 +131,11 @@ def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document is its own successor; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), "doc_id", ["text", "sketch"])
+    rows = with_next(rows, "doc_id", ["text"]).withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("bigint"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    rows = with_sketch(rows, "edited", "edited_sketch")
+    for text, name in (("text", "sketch"), ("next_text", "next_sketch"), ("edited", "edited_sketch")):  # made after the shuffle, so that they are not dealt out
+        rows = with_sketch(rows, text, name)
     return rows.select(
         "doc_id",
         "n_chars",
