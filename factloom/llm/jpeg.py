@@ -408,17 +408,21 @@ def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     """What the stored images hold: dimensions, thumbnail hashes and digests of the samples read back.
 
     doc_id, n_bytes (null without the writer's comment), width, height and frames, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, thumbnail_hash (of the first image) and thumbnails_sha1 (of all). Null media gives nulls.
+    tail_crc32, media_bytes, media_sha256, thumbnail_hash and thumbnails_sha1. Images that follow each other in a value
+    are one above the other: ``height`` is that of all, and the thumbnail hash is of all thumbnails of the first one's
+    width together. Null media gives nulls.
     """
     short_batches(media.sparkSession)
     rows = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
     fields = [("n_bytes", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("frames", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("thumbnail_hash", pa.string()), ("thumbnails_sha1", pa.string())]
 
     def describe(data: bytes, thumbs: list[np.ndarray]) -> tuple:
-        first = parse(data)[0]
+        frames = parse(data)
+        first = frames[0]
+        tower = np.concatenate([t for t in thumbs if t.shape[1] == thumbs[0].shape[1]])
         payload = b"".join(t.tobytes() for t in thumbs)
         stated = first.comment[6:] if first.comment.startswith(b"bytes=") else b""
-        return (int(stated) if stated.isdigit() else None, first.width, first.height, len(thumbs), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(thumbs[0]), hashlib.sha1(payload).hexdigest())
+        return (int(stated) if stated.isdigit() else None, first.width, sum(f.height for f in frames), len(thumbs), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tower), hashlib.sha1(payload).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import nulls_last, positions, prefix_sums
+from factloom.llm.common import nulls_last, positions, prefix_sums, spare
+from factloom.llm.rows import finder, with_places
 from factloom.scratch import materialise
 
 #: Weights of the sources in code point order, repeating.
@@ -51,43 +52,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return table.withColumn("target", F.when(full, (F.col("source_size") * repeats).cast("double")).otherwise(F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every row.
+def mix(docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row, and the ``carried`` columns.
 
-    ``copies`` is how often the mix takes the whole document: each full epoch
-    of its source once, and once more ahead of the cut. The document at the cut
-    is taken if that brings the source nearer to its target. Null sources are
-    one source and come last; documents of size 0 have no effect on budgets.
-    Ties in the key are ordered by id, size and text-free; identical rows are
-    interchangeable. Other columns are not read; an empty table gives no rows.
+    A source's budget is its target, rounded to whole words (a half goes up).
+    ``taken`` is what the mix takes of a row's size, repeats counted: all of it
+    in each full epoch of its source, and in the last, partial epoch what lies
+    ahead of the cut, so a source's taken words are exactly its budget. The
+    document at the cut is the only one taken in part. ``copies`` counts whole
+    documents: every epoch, and the last if at least half the document lies ahead of the cut.
+
+    Null sources are one source and come last; documents of size 0 are never
+    taken. Ties in the key are ordered by id and size; rows equal in these are
+    interchangeable in size, and each has its own place. Other columns are not
+    read; an empty table gives no rows.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "mix-rows")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *[F.col(c) for c in carried]), "mix-rows")
     sizes = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
     aims = materialise(targets(sizes, weights, share, repeats), "mix-targets")
     starts = prefix_sums(aims, nulls_last("source"), "source_size", "mix-starts").withColumnRenamed("before", "source_start")
     starts = materialise(starts.withColumnRenamed("source", "aim"), "mix-aims")
-    placed = prefix_sums(rows, [*nulls_last("source"), F.col("key"), F.col("doc_id"), F.col("size")], "size", "mix-sorted")
+    placed = prefix_sums(rows, [*nulls_last("source"), F.col("key"), F.col("doc_id"), F.col("size"), *[F.col(c) for c in carried]], "size", "mix-sorted")
     # Both sides are fresh exchanges, so Spark may split a hot source; a small table of sources is broadcast by its size on disk.
     joined = materialise(placed, "mix-placed").join(starts, F.col("source").eqNullSafe(F.col("aim")))
-    before = F.col("before") - F.col("source_start")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    once = (F.col("size") > 0) & (2 * before + F.col("size") <= 2 * rest)
-    copies = F.col("epochs") + F.when(once, 1).otherwise(0)
-    return joined.withColumn("epochs", epochs).select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"))
+    joined = joined.withColumn("budget", F.floor(F.col("target") + 0.5)).withColumn("ahead", F.col("before") - F.col("source_start"))
+    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("bigint")
+    joined = joined.withColumn("epochs", epochs)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("ahead"))).cast("bigint")
+    joined = joined.withColumn("part", part)
+    copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("bigint").alias("copies"), (F.col("epochs") * F.col("size") + F.col("part")).cast("bigint").alias("taken"), *carried)
 
 
 def mixed_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, all columns as they were.
+    """The mix itself: every row of ``docs`` as often as ``copies`` says, all columns as they were.
 
-    A row's copies follow from its id, source and size, so rows that share all three get as many copies each as the mix gives the first.
+    Documents are never cut, so a source's words come within half a document of
+    its budget. Every row is counted by its own place, rows that repeat too.
     """
-    taken = mix(docs, words(F.col(text_col)), id_col, source_col, **options).where("copies > 0")
-    # Rows that agree in id, source and size are told apart by their number among them.
-    most = materialise(taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_mix_copies")).withColumnsRenamed({"doc_id": "_mix_id", "source": "_mix_source", "size": "_mix_size"}), "mix-taken")
-    rows = docs.withColumn("_mix_words", words(F.col(text_col)))
-    # Alike at every size: both sides are dealt out by their keys, however small one is.
-    most = most.hint("merge")
-    joined = rows.join(most, rows[id_col].eqNullSafe(most["_mix_id"]) & rows[source_col].eqNullSafe(most["_mix_source"]) & (rows["_mix_words"] == most["_mix_size"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, file, at = with_places(docs)
+    taken = mix(rows, words(F.col(text_col)), id_col, source_col, carried=(file, at), **options).where("copies > 0")
+    find = finder(taken, file, at, ["copies"], "mix-taken")
+    hit, copy = spare(rows, "_mix_hit"), spare(rows, "_mix_copy")
+    kept = rows.withColumn(hit, find(F.col(file), F.col(at))).where(F.col(f"{hit}.found"))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{hit}.copies")))).drop(file, at, hit, copy)

@@ -55,8 +55,8 @@ def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every document as a baseline JPEG and reads dimensions, thumbnail and digests back."""
-    found = jpeg.features(jpeg.to_media(_table(spark, sf_dir, "documents")))
+    """Stores every document as a baseline JPEG in the shared scratch folder and reads dimensions, thumbnail and digests back."""
+    found = jpeg.features(scratch.materialise(jpeg.to_media(_table(spark, sf_dir, "documents")), "media"))
     feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), "thumbnail_hash", F.lit(":"), "thumbnails_sha1")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
@@ -72,9 +72,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixes all documents to target weights; taken are the words of all copies."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.words(F.col("text")))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """Mixes all documents to target weights; a source's taken words are its target rounded."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), mixing.words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,13 +33,12 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0 ELSE least((2 * source_size)::DOUBLE, weight * level) END AS target FROM w, l
 ), p AS (
-  SELECT d.*, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before,
-         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
+  SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN size > 0 AND 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+       CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken
 FROM p
 """
 
