@@ -1,9 +1,10 @@
 """A compression classifier: how much better do good texts compress a text than bad ones do?
 
-A zstandard dictionary is built from labelled good texts and one from bad
-ones. Each whole text is cut into windows, every window is compressed with
-both dictionaries, and the difference of the two sizes over their sum, with
-the sizes for each byte beside it, is calibrated by logistic regression.
+One zstandard dictionary is trained on labelled good texts and one on bad ones.
+Each whole text is cut into windows, every window is compressed with both, and
+the difference of the two compressed sizes over their sum is calibrated by
+logistic regression. Nothing else of the text enters the score but its length,
+which says how much evidence the difference is.
 """
 
 from __future__ import annotations
@@ -13,30 +14,41 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from factloom.llm.common import filter_texts, short_batches, utf8
+from factloom.llm.common import filter_texts, short_batches, spare, utf8
 from factloom.llm.langid import bucket
+from factloom.scratch import materialise
 
-#: Bytes of a window: short enough that the dictionary still matters at its end.
-WINDOW = 1024
-#: Labelled documents of each class that dictionaries and calibration read (in expectation), and bytes taken of a class.
+#: Bytes of a window: short, so that what the dictionary holds matters more than what the window repeats.
+WINDOW = 256
+#: Labelled documents of each class that dictionaries and calibration read (in expectation), and bytes read of a class.
 PER_CLASS, CLASS_BYTES = 3000, 24 << 20
-DICTIONARY_BYTES, LEVEL = 112 << 10, 3
+#: Bytes of either dictionary at most, and the compression level.
+DICTIONARY_BYTES, LEVEL = 64 << 10, 3
+#: Bytes of text at which the difference counts half as much as in a text without end.
+HALF_EVIDENCE = 512
 #: Documents that score less are rejected.
 THRESHOLD = 0.7
 
 
 @dataclass
 class Model:
+    """Two dictionaries and a calibration: log odds = prior + evidence * (offset + slope * difference).
+
+    The difference is held to ``low`` and ``high``, the range that the calibration has seen.
+    """
+
     good: bytes
     bad: bytes
-    weights: list[float]
-    centre: list[float]
-    scale: list[float]
-    _open: list = field(default_factory=list, repr=False)
+    prior: float
+    offset: float = 0.0
+    slope: float = 0.0
+    low: float = 0.0
+    high: float = 0.0
+    _open: list = field(default_factory=list, repr=False, compare=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_open": []}
@@ -45,47 +57,50 @@ class Model:
         if not self._open:
             import zstandard as z
 
-            make = lambda d: z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
-            plain = z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-            self._open.extend([make(self.good) if self.good else plain, make(self.bad) if self.bad else plain, plain])
+            for held in (self.good, self.bad):
+                content = z.ZstdCompressionDict(held)
+                content.precompute_compress(level=LEVEL)
+                self._open.append(z.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_dict_id=False, write_checksum=False))
         return self._open
 
-    def features(self, text: bytes) -> list[float]:
-        good, bad, plain = (c.compress for c in self._compressors())
+    def difference(self, text: bytes) -> float:
+        """Bytes that the bad dictionary's output has more than the good one's, over the sum of both; of an empty text 0."""
+        if not text or not self.good:
+            return 0.0
+        good, bad = (c.compress for c in self._compressors())
         g = b = 0
         for at in range(0, len(text), WINDOW):
             part = text[at : at + WINDOW]
             g += len(good(part))
             b += len(bad(part))
-        n = len(text)
-        return [(b - g) / (b + g), g / n, b / n, len(plain(text)) / n, 1 / (1 + n / 64)] if n else [0.0] * 5
+        return (b - g) / (b + g)
 
     def score(self, text: bytes) -> float:
         """The calibrated chance that the label is 1; of an empty text 0."""
         if not text:
             return 0.0
-        x = expand((np.array([self.features(text)]) - self.centre) / self.scale)
-        return float(_sigmoid(x @ np.array(self.weights))[0])
+        return float(_sigmoid(self.prior + evidence(len(text)) * (self.offset + self.slope * min(self.high, max(self.low, self.difference(text))))))
+
+
+def evidence(n):
+    """How much the difference of a text of n bytes counts, from 0 to 1."""
+    return n / (n + HALF_EVIDENCE)
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """A constant, the features held to four deviations, and their products."""
-    x = np.clip(x, -4, 4)
-    pairs = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
-    return np.column_stack([np.ones(len(x)), x, *pairs])
-
+def logistic(x: np.ndarray, y: np.ndarray, given: float = 0.0, ridge: float = 0.1, rounds: int = 100, each: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls.
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100, each: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, each halved until the loss falls; ``each`` row counts so often (1)."""
+    ``given`` are log odds that every row has besides; ``each`` row counts so often (1).
+    """
     each = np.ones(len(y)) if each is None else each
-    loss = lambda w: each @ np.logaddexp(0, (1 - 2 * y) * (x @ w)) + ridge * (w @ w) / 2
+    loss = lambda w: each @ np.logaddexp(0, (1 - 2 * y) * (given + x @ w)) + ridge * (w @ w) / 2
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = _sigmoid(x @ w)
+        p = _sigmoid(given + x @ w)
         grad = x.T @ (each * (p - y)) + ridge * w
         hess = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step, now = np.linalg.solve(hess, grad), loss(w)
@@ -97,65 +112,79 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100
     return w
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A zstandard dictionary of the windows of these texts; empty where there is too little to build one."""
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """A dictionary of the windows of each class. Both aim at the same size, an eighth of the smaller class at most.
+
+    Where there is too little to train on, the texts themselves, one after another, serve.
+    """
     import zstandard as z
 
-    parts = [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)]
-    total = sum(map(len, parts))
+    whole = min(sum(map(len, texts)) for texts in (good, bad))
+    size = min(DICTIONARY_BYTES, max(256, whole // 8))
     try:
-        return z.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), parts, level=LEVEL).as_bytes()
+        return tuple(z.train_dictionary(size, [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)], level=LEVEL).as_bytes() for texts in (good, bad))
     except z.ZstdError:
-        return b""
+        return tuple(b"\n".join(texts)[:whole] for texts in (good, bad))
 
 
 def fit(good: list[bytes], bad: list[bytes], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """Half of each class builds its dictionary and the other half the calibration, then the halves change places.
+    """Every second text of each class trains its dictionary, the others calibrate: none is judged by a dictionary that it made.
 
-    The calibration that is kept is of both halves; the dictionaries that are
-    kept are of the first. With one class only, every text scores as that class.
-    ``weights``: how many labelled texts a good and a bad one stand for.
+    With one class only, every text scores as that class; of a class with one
+    text, that text serves both ends. ``weights``: how many labelled texts a
+    good and a bad one stand for.
     """
     good, bad = [t for t in good if t], [t for t in bad if t]
     if not good or not bad:
-        return Model(b"", b"", [(4.0 if good or not bad else -4.0), *[0.0] * 20], [0.0] * 5, [1.0] * 5)
+        return Model(b"", b"", 4.0 if good or not bad else -4.0)
     half = lambda rows, k: rows[k::2] or rows
-    model = Model(dictionary(half(good, 0)), dictionary(half(bad, 0)), [], [0.0] * 5, [1.0] * 5)
-    raw = np.array([model.features(t) for t in [*half(good, 1), *half(bad, 1)]])
+    prior = float(np.log(len(good) * weights[0] / (len(bad) * weights[1])))
+    model = Model(*dictionaries(half(good, 0), half(bad, 0)), prior)
+    left = [*half(good, 1), *half(bad, 1)]
     y = np.array([1.0] * len(half(good, 1)) + [0.0] * len(half(bad, 1)))
+    raw, counts = np.array([model.difference(t) for t in left]), evidence(np.array([len(t) for t in left]))
     each = np.where(y == 1, *weights)
-    centre = np.average(raw, axis=0, weights=each)
-    model.centre, model.scale = centre.tolist(), (np.sqrt(np.average((raw - centre) ** 2, axis=0, weights=each)) + 1e-9).tolist()
-    model.weights = logistic(expand((raw - model.centre) / model.scale), y, each=each).tolist()
+    centre = float(np.average(raw, weights=each))
+    scale = float(np.sqrt(np.average((raw - centre) ** 2, weights=each))) + 1e-9
+    offset, slope = logistic(np.column_stack([counts, counts * (raw - centre) / scale]), y, prior, each=each)
+    model.offset, model.slope = float(offset - slope * centre / scale), float(slope / scale)
+    model.low, model.high = float(raw.min()), float(raw.max())
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
     """Fit on about ``per_class`` labelled rows of each class, chosen by hash of the id.
 
-    The sample, whose ids are broadcast, is bounded by ``per_class`` rows and CLASS_BYTES bytes of each
-    class, and is the only thing that comes to the driver. Each row counts for
-    as many as it was drawn from, so the chance of a class does not depend on
-    the bounds. Rows without label or text teach nothing; labels other than 0
-    and 1 are ignored.
+    The sample, whose ids are broadcast, is written to scratch and is the only
+    thing that comes to the driver: in the order of the hash, texts of a class
+    are taken until ``class_bytes`` are reached, so the model does not depend on
+    how the tables are laid out. Each row counts for as many as it was drawn
+    from, so the chance of a class does not depend on the bounds. Rows without
+    label or text, texts over ``class_bytes`` and ids with contradicting labels
+    teach nothing; repeated labels of an id count once, and labels other than 0
+    and 1 are ignored. Every row of a repeated id teaches.
     """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
+    marks = materialise(marks.groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("_id", "label"), "quality-labels")
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     shares = {c: min(1.0, per_class / max(1, counts.get(c, 0))) for c in (0, 1)}
     share = F.when(F.col("label") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     draw = F.pmod(F.xxhash64(F.lit("quality"), F.col("_id")), F.lit(1 << 30))
     sample = marks.withColumn("draw", draw).where(F.col("draw") / float(1 << 30) < share)
-    rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("body")).join(F.broadcast(sample), "_id").where("octet_length(body) > 0")
-    texts: dict[int, list[tuple]] = {0: [], 1: []}
-    held, drawn = {0: 0, 1: 0}, {0: 0, 1: 0}
-    for r in rows.select("label", "draw", "_id", "body").toLocalIterator():
-        body = bytes(r["body"])
-        drawn[r["label"]] += 1
-        if held[r["label"]] + len(body) <= CLASS_BYTES:
-            held[r["label"]] += len(body)
-            texts[r["label"]].append((r["draw"], r["_id"], body))
-    stand_for = {c: drawn[c] / max(1, len(texts[c])) / shares[c] for c in (0, 1)}
-    return fit([b for *_, b in sorted(texts[1])], [b for *_, b in sorted(texts[0])], (stand_for[1], stand_for[0]))
+    body = utf8(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), body.alias("body")).where(F.octet_length("body").between(1, class_bytes)).join(F.broadcast(sample), "_id")
+    rows = materialise(rows.withColumn("tie", F.xxhash64("body")), "quality-sample")
+    place = ["draw", "_id", "tie"]
+    so_far = Window.partitionBy("label").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = rows.select("label", "draw", "_id", "tie", F.sum(F.octet_length("body")).over(so_far).alias("bytes"))  # some 2 x per_class rows
+    ends = {r["label"]: r for r in order.groupBy("label").agg(F.count("*").alias("drawn"), F.count(F.when(F.col("bytes") <= class_bytes, 1)).alias("taken"), F.max(F.when(F.col("bytes") <= class_bytes, F.struct(*place))).alias("last")).collect()}
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
+    stand_for = {0: 1.0, 1: 1.0}
+    for c, end in ends.items():
+        taken = rows.where(F.col("label") == c).where(F.struct(*place) <= F.struct(*[F.lit(x).cast(rows.schema[n].dataType).alias(n) for n, x in zip(place, end["last"], strict=True)]))
+        texts[c] = [bytes(r["body"]) for r in taken.orderBy(*place).select("body").collect()]
+        stand_for[c] = end["drawn"] / max(1, len(texts[c])) / shares[c]
+    return fit(texts[1], texts[0], (stand_for[1], stand_for[0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -167,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     short_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], utf8(text_col).alias("_quality_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], utf8(text_col).alias(spare(docs, "_quality_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
