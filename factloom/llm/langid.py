@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from factloom.llm.common import filter_texts, short_batches
+from factloom.llm.common import filter_texts, short_batches, spare
 from factloom.scratch import materialise
 
 #: Code points of an n-gram; slots of a filter as a power of two; hash functions.
@@ -54,9 +54,8 @@ def ngram_hashes(text: str, n: int = NGRAM) -> np.ndarray:
     kept = letter.copy()
     kept[1:] |= letter[:-1]
     run = np.where(letter, codes, np.uint32(32))[kept]
-    run = np.concatenate(([32] * (1 + max(0, n - 2 - len(run))), run)).astype(np.uint64)
-    if run[-1] != 32:
-        run = np.append(run, np.uint64(32))
+    run = run[:-1] if run[-1] == 32 else run
+    run = np.concatenate(([32] * (1 + max(0, n - 2 - len(run))), run, [32])).astype(np.uint64)
     count = len(run) - n + 1
     h = run[:count].copy()
     for i in range(1, n):
@@ -169,7 +168,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     short_batches(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_langid_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(spare(docs, "_langid_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
