@@ -25,9 +25,7 @@ def library_ids(path, text, end=2):
 # ---------------------------------------------------------------- op1
 
 
-@pytest.mark.parametrize("bound", [0, warc.BROADCAST_GROUPS])
-def test_warc_round_trip(spark, monkeypatch, bound):
-    monkeypatch.setattr(warc, "BROADCAST_GROUPS", bound)
+def test_warc_round_trip(spark):
     long = "é<p>WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 60
     pages = [(1, "http://a/ b\r\n", long, 1), (2, None, long, 1), (3, "u", None, 1), (4, "u", "", 1), (5, "u", "short", 1), (6, "u", "short", 1), (9, "u", long, 1), (9, "u", long, 1), (None, "u", long, 1), (7, "u", "x" * 999, 1), (8, "u", "x" * 999, 1)]
     where = scratch.path(spark, "warc-test")
@@ -56,6 +54,17 @@ def test_warc_reads_gzip_and_empty(spark, tmp_path):
     assert [bytes(r.payload) for r in rows] == [b"hello"] * 2 and rows[0].headers["x-long"] == "a b"
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(record[:-8])))
+    for payload in ("keep", "digest", "skip"):  # cut in the payload, in the header, and under a predicate that passes the record over
+        for cut in (record[:-8], record + record[:-8], record[:30]):
+            with pytest.raises(ValueError):
+                list(warc.records(io.BytesIO(cut), (), payload))
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(record[:-8]), [("in", "warc-type", frozenset(["response"]), False)]))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc").write_bytes(record + record[:-8])
+    for payload in ("keep", "digest", "skip"):
+        with pytest.raises(Exception, match="ends before its length"):
+            warc.read_warc(spark, str(tmp_path / "cut"), payload).where("record_type = 'response'").count()
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.page_records(spark, str(tmp_path / "none")).count() == 0
 
@@ -404,6 +413,8 @@ def test_mixing(docs, empty, nulls, texts):
     for s, held in by.items():
         assert held[0].source_size == full[s] and held[0].target == pytest.approx(target[s])
         assert abs(sum(r["size"] * r.copies for r in held) - target[s]) <= max(r["size"] for r in held) / 2 + 1
+        assert sum(r.taken for r in held) == int(target[s] + 0.5) and all(0 <= r.taken <= 2 * r["size"] for r in held)
+        assert sum(r.taken not in (r["size"] * k for k in range(3)) for r in held) <= 1
     again = mixing.mix(docs.repartition(5), mixing.words(F.col("text"))).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     mixed = mixing.mixed_rows(docs)
