@@ -13,7 +13,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.scratch import materialise
+from factloom.scratch import Grown, discard, materialise
 
 SYMBOLS = ["function", "type", "value"]
 
@@ -52,15 +52,14 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 def neighbors(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """seed, node and distance of all nodes within ``depth`` steps of each seed, the seed itself left out."""
     steps = materialise(directed(edges, direction), "steps")
-    seen = materialise(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")), "seen")
-    front = seen
+    seen = Grown(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct(), "seen")
+    front = seen.rows
     for d in range(1, depth + 1):
         reached = front.join(steps, front.node == steps.a).select("seed", F.col("b").alias("node"), F.lit(d).alias("distance")).distinct()
-        front = materialise(reached.join(seen, ["seed", "node"], "left_anti"), "front")
+        front = seen.add(reached.join(seen.rows, ["seed", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = materialise(seen.unionByName(front), "seen")
-    return seen.where("distance > 0")
+    return seen.rows.where("distance > 0")
 
 
 def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
@@ -104,11 +103,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
-        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
+        first = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
+        large = materialise(both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large")
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = materialise(small.where("u <> v").distinct(), "cc")
+        after = materialise(small.where("u <> v").distinct(), "cc")
+        discard(now, first, large, least)
+        now = after
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -178,9 +179,10 @@ def condensation(edges: DataFrame, components: DataFrame) -> DataFrame:
 def topological_order(links: DataFrame, components: DataFrame) -> DataFrame:
     """component and place: always the least component whose predecessors are all placed.
 
-    This order is sequential by nature, so the condensation (admitted under the
-    ceiling of ``admit``) is ordered on the driver.
+    This order is sequential by nature, so the condensation is ordered on the
+    driver. ``admit`` refuses one with more components or links than its ceilings.
     """
+    admit(components.select("component").distinct(), links.select("source", "target").distinct())
     names = [r[0] for r in components.select("component").distinct().collect()]
     ahead: dict[int, list[int]] = {c: [] for c in names}
     waits = dict.fromkeys(names, 0)
@@ -306,9 +308,46 @@ def component_facts(components: DataFrame, owners: DataFrame) -> DataFrame:
     return components.join(owners, "node", "left").groupBy("component").agg(F.count("*").alias("members"), F.count_distinct("owner").alias("partitions"), F.bool_or("cyclic").alias("cyclic"))
 
 
-def layout(nodes: DataFrame, edges: DataFrame, owners: DataFrame) -> DataFrame:
-    """node, parent, owner, incoming and outgoing: what a drawing needs."""
-    return nodes.select("node", "parent").join(owners, "node", "left").join(degree(nodes, edges).drop("total"), "node")
+def layout(nodes: DataFrame, edges: DataFrame, owners: DataFrame, centrality: DataFrame | None = None) -> DataFrame:
+    """node, parent, owner, incoming and outgoing, and the betweenness score where ``centrality`` has it: what a drawing needs."""
+    out = nodes.select("node", "parent").join(owners, "node", "left").join(degree(nodes, edges).drop("total"), "node")
+    return out if centrality is None else out.join(centrality.select("node", F.col("score").alias("betweenness")), "node", "left")
+
+
+def layout_edges(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """id, src, dst, kind, certainty and crosses (whether the ends lie in different partitions; null where one has none)."""
+    a, b = (owners.select(F.col("node").alias(end), F.col("owner").alias(f"{end}_owner")) for end in ("src", "dst"))
+    return edges.join(a, "src", "left").join(b, "dst", "left").select("id", "src", "dst", "kind", "certainty", (F.col("src_owner") != F.col("dst_owner")).alias("crosses"))
+
+
+def divergence(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """All that says how far a graph is from its declared partitions: cohesion, modularity, misplacement, crossings."""
+    owners = materialise(partition(nodes), "owners")
+    components = materialise(strong_components(nodes, edges), "components")
+    return {"cohesion": cohesion(edges, owners), "modularity": modularity(edges, owners), "misplacement": misplacement(nodes, edges, owners), "crossings": crossings(components, owners)}
+
+
+def component_subjects(components: DataFrame, labels: DataFrame) -> DataFrame:
+    """component, subject and members: a cyclic component is named after its least member, with the number of the others."""
+    named = components.where("cyclic").join(labels, "node", "left")
+    sums = named.groupBy("component").agg(F.count("*").alias("members"), F.min_by("path", "node").alias("first"))
+    return sums.select("component", F.when(F.col("members") > 1, F.concat("first", F.lit(" (+"), (F.col("members") - 1).cast("string"), F.lit(")"))).otherwise(F.col("first")).alias("subject"), "members")
+
+
+def validate_component_facts(facts: DataFrame) -> None:
+    """Each component once, with a member at least, no more partitions than members, and cyclic if it has several; else ValueError."""
+    if not facts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a component is stated twice")
+    if not facts.where("members < 1 or partitions > members or (members > 1 and not cyclic) or component is null").isEmpty():
+        raise ValueError("a component fact contradicts itself")
+
+
+def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """value: rows of a version-1 graph document, one JSON object each: the header, then nodes, then edges, by id."""
+    head = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("m"))).select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("id"), F.to_json(F.struct(F.lit(1).alias("version"), F.col("n").alias("nodes"), F.col("m").alias("edges"))).alias("value"))
+    a = nodes.select(F.lit(1).alias("part"), F.col("node").alias("id"), F.to_json(F.struct(F.col("node").alias("id"), "parent", "category", "label")).alias("value"))
+    b = edges.select(F.lit(2).alias("part"), "id", F.to_json(F.struct("id", F.col("src").alias("source"), F.col("dst").alias("target"), "kind", "certainty")).alias("value"))
+    return head.unionByName(a).unionByName(b)
 
 
 # ---------------------------------------------------------------- closures
@@ -317,11 +356,10 @@ def layout(nodes: DataFrame, edges: DataFrame, owners: DataFrame) -> DataFrame:
 def closure(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed and node of everything reachable by (a, b) steps, the seeds included. Semi-naive: only new pairs are joined on."""
     steps = materialise(steps.select("a", "b").distinct(), "closure-steps")
-    seen = materialise(seeds.select(F.col("node").alias("seed"), "node").distinct(), "closure")
-    front = seen
+    seen = Grown(seeds.select(F.col("node").alias("seed"), "node").distinct(), "closure")
+    front = seen.rows
     while True:
         reached = front.join(steps, front.node == steps.a).select("seed", F.col("b").alias("node")).distinct()
-        front = materialise(reached.join(seen, ["seed", "node"], "left_anti"), "closure-front")
+        front = seen.add(reached.join(seen.rows, ["seed", "node"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = materialise(seen.unionByName(front), "closure")
+            return seen.rows

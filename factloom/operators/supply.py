@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.scalar import one_of, semver
@@ -27,13 +27,16 @@ def prior_baseline(current: DataFrame, baselines: DataFrame) -> DataFrame:
 
     Versions are compared as semantic versions; where the current one is none, so may the baselines be, by text.
     """
-    c = current.withColumn("_cv", semver(F.col("version")))
-    b = baselines.select(F.col("name").alias("_n"), *[F.col(x).alias(f"prior_{x}") for x in baselines.columns if x != "name"]).withColumn("_bv", semver(F.col("prior_version")))
-    older = (F.col("_bv") < F.col("_cv")) | (F.col("_cv").isNull() & F.col("_bv").isNull() & (F.col("prior_version") < F.col("version")))
-    joined = c.join(b, (F.col("name") == F.col("_n")) & older, "left")
-    prior = [x for x in joined.columns if x.startswith("prior_")]
-    best = joined.groupBy(*current.columns).agg(F.max_by(F.struct(*prior), F.struct("_bv", "prior_version")).alias("p"))
-    return best.select(*current.columns, "p.*")
+    kept = [x for x in baselines.columns if x != "name"]
+    held = F.struct(*[F.col(x).alias(f"prior_{x}") for x in kept])
+    base = baselines.select("name", "version", F.lit(1).alias("_side"), held.alias("_base"))
+    c = current.select("name", "version", F.lit(0).alias("_side"), F.struct(*current.columns).alias("_row"))
+    both = c.unionByName(base, allowMissingColumns=True).withColumn("_key", semver(F.col("version")))
+    # In order of version, a current row comes ahead of a baseline of its own version, so what is ahead of it is strictly older.
+    place = [F.col("_key"), F.when(F.col("_key").isNull(), F.col("version")), F.col("_side"), F.col("version")]
+    ahead = Window.partitionBy("name", F.col("_key").isNull()).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    best = both.withColumn("_prior", F.last("_base", ignorenulls=True).over(ahead)).where("_side = 0")
+    return best.select("_row.*", *[F.col(f"_prior.prior_{x}").alias(f"prior_{x}") for x in kept])
 
 
 def compare(current: DataFrame, baselines: DataFrame) -> DataFrame:
