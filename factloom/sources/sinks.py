@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.scalar import escape_message, escape_property
+from factloom.plans import vocab
 
 #: Version of the attestation format that is written.
 SPEC_VERSION = "0.1.0"
@@ -42,6 +43,32 @@ def verdict_annotations(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(F.concat(F.lit("::"), command, F.lit(" title="), escape_property(F.col("rule")), F.lit("::"), escape_message(F.col("rationale"))).alias("value"))
 
 
+def project_gate_annotations(verdicts: DataFrame, tier: str, targets: list[str]) -> DataFrame:
+    """value: a notice of what was judged, and at which tier, then a workflow command for each verdict; ``ord`` is the order."""
+    spark = verdicts.sparkSession
+    said = f"analysis tier: {tier}; targets: {', '.join(targets) if targets else 'none'}"
+    notice = spark.createDataFrame([(0, said)], "ord int, said string").select("ord", F.concat(F.lit("::notice title=gate::"), escape_message(F.col("said"))).alias("value"))
+    return notice.unionByName(verdict_annotations(verdicts).select(F.lit(1).alias("ord"), "value"))
+
+
+def ci_outputs(report: DataFrame, status: str) -> DataFrame:
+    """value: ``name=value`` lines for a workflow's output file: the status, and how many findings there are at each level."""
+    levels = list(vocab.LEVELS)
+    held = report.agg(*[F.count_if(F.col("level") == x).alias(x) for x in levels])
+    pairs = [F.concat(F.lit("status="), F.lit(status)), *[F.concat(F.lit(f"{x}="), F.col(f"`{x}`").cast("string")) for x in levels]]
+    return held.select(F.posexplode(F.array(*pairs)).alias("ord", "value"))
+
+
+def snippets(units: DataFrame, sources: DataFrame) -> DataFrame:
+    """file, kind, name and value: the text of each unit (start and end in bytes) with its place, as a JSON envelope."""
+    body = F.decode(F.substring(F.col("source").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")), "UTF-8")
+    joined = units.join(sources.select(F.col("path").alias("file"), "source"), "file").withColumn("text", body)
+    first = F.octet_length("source") >= 0
+    line = F.size(F.split(F.decode(F.substring(F.col("source").cast("binary"), F.lit(1), F.col("start")), "ISO-8859-1"), "\n"))
+    envelope = F.struct(F.lit(1).alias("version"), F.struct("file", line.alias("line"), "start", "end").alias("location"), "kind", "name", "text")
+    return joined.where(first).select("file", "kind", "name", "start", F.to_json(envelope).alias("value"))
+
+
 def write_attestations(attestations: DataFrame, where: str) -> None:
     """One folder for each name and version, rewritten alone."""
     attestations.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name", "version").json(where)
