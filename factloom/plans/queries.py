@@ -31,10 +31,13 @@ def query(name: str, sql: str | None = None, **adapters: str):
 
 
 def queries() -> dict[str, Query]:
+    from factloom.plans import planted  # noqa: F401  registers its own
+
     return {name: f for name, (f, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in _REGISTERED.items() if sql}
 
 
