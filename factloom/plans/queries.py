@@ -413,6 +413,11 @@ def _graph(spark, d):
 _OWN = f"WITH n AS ({A.sql(A.NODES)}), e AS (SELECT * FROM ({A.sql(A.EDGES)}) x WHERE kind <> 'depends_on' AND certainty = 'resolved'), o AS (SELECT node, CASE WHEN category = 'container' THEN node ELSE parent END AS owner, category FROM n), h AS (SELECT e.*, a.owner AS so, b.owner AS d_o, a.category AS sc FROM e JOIN o a ON e.src = a.node JOIN o b ON e.dst = b.node)"
 
 
+_CLOSED = "s AS (SELECT DISTINCT src, dst FROM e), r AS (SELECT node AS seed, node FROM n UNION SELECT r.seed, s.dst FROM r JOIN s ON r.node = s.src), c AS (SELECT a.seed AS node, min(a.node) AS component, count(*) > 1 AS many FROM r a JOIN r b ON a.seed = b.node AND a.node = b.seed GROUP BY a.seed)"
+_REACH = f"WITH RECURSIVE n AS ({A.sql(A.NATIONS)}), e AS ({A.sql(A.NATION_EDGES)}), {_CLOSED}"
+# The whole graph's closure is quadratic, which SQL bears on a small scale only.
+_WHOLE = f"WITH RECURSIVE n AS ({A.sql(A.NODES)}), e AS (SELECT * FROM ({A.sql(A.EDGES)}) x WHERE kind <> 'depends_on' AND certainty = 'resolved'), {_CLOSED}"
+
 @query("graph_degree", f"{_OWN} SELECT node, coalesce(i, 0) AS incoming, coalesce(o, 0) AS outgoing, coalesce(i, 0) + coalesce(o, 0) AS total FROM n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM e GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM e GROUP BY src) USING (node)")
 def graph_degree(spark, d):
     return graph.degree(*_graph(spark, d))
@@ -468,7 +473,15 @@ def _boundary_facts(edges, nodes, owners):
     return m.unionByName(c), none
 
 
-@query("gate_boundary_whole")
+_OWNERS = "o AS (SELECT node, CASE WHEN category = 'container' THEN node ELSE parent END AS owner, category FROM n), h AS (SELECT e.*, a.owner AS so, b.owner AS d_o, a.category AS sc FROM e JOIN o a ON e.src = a.node JOIN o b ON e.dst = b.node), p AS (SELECT src, so, d_o, count(*) AS c FROM h WHERE sc <> 'container' GROUP BY ALL), u AS (SELECT src, CAST(sum(c) AS BIGINT) AS total FROM p GROUP BY src)"
+_COMPONENTS = "q AS (SELECT component, count(*) AS members, count(DISTINCT owner) AS partitions, bool_or(many OR node IN (SELECT src FROM e WHERE src = dst)) AS cyclic FROM c JOIN o USING (node) GROUP BY component)"
+
+
+def _boundary_whole_sql() -> str:
+    return f"{_WHOLE}, {_OWNERS}, {_COMPONENTS} SELECT concat('m', p.src, '/', d_o) AS fact_ord, 2 AS rule_ord, 'misplaced-symbol' AS rule, 'warn' AS severity FROM p JOIN u USING (src) WHERE so <> d_o AND c >= 3 AND c * 100 >= total * 20 UNION ALL SELECT concat('c', x), 3, 'low-module-cohesion', 'warn' FROM (SELECT so AS x, count(*) FILTER (so = d_o) AS internal, count(*) AS total FROM h GROUP BY so) k WHERE total >= 4 AND internal * 100 < total * 50 UNION ALL SELECT concat('s', component), 0, 'large-scc', 'warn' FROM q WHERE cyclic AND members > 8 UNION ALL SELECT concat('s', component), 1, 'boundary-crossing-scc', 'deny' FROM q WHERE cyclic AND partitions > 1"
+
+
+@query("gate_boundary_whole", _boundary_whole_sql())
 def gate_boundary_whole(spark, d):
     """As gate_boundary, with the facts of strong components: all four rules. Components are beyond the SQL of gate_boundary."""
     nodes, edges = _graph(spark, d)
@@ -485,6 +498,57 @@ def graph_neighbors(spark, d):
     return graph.neighbors(edges, nodes.where("category = 'type'"), 1)
 
 
+@query("graph_neighbors_two", f"{_OWN}, s AS (SELECT DISTINCT src AS a, dst AS b FROM e), f AS (SELECT node AS seed, b AS node FROM n JOIN s ON a = node WHERE category = 'type' AND b <> node) SELECT seed, node, min(distance) AS distance FROM (SELECT seed, node, 1 AS distance FROM f UNION ALL SELECT seed, b, 2 FROM f JOIN s ON f.node = s.a WHERE b <> seed) x GROUP BY seed, node")
+def graph_neighbors_two(spark, d):
+    """Types and what lies within two steps of each."""
+    nodes, edges = _graph(spark, d)
+    return graph.neighbors(edges, nodes.where("category = 'type'"), 2)
+
+
+@query("graph_path", f"{_OWN}, a AS (SELECT min(src) AS s FROM e), t AS (SELECT min(dst) AS t FROM e WHERE src IN (SELECT dst FROM e JOIN a ON src = s) AND dst <> (SELECT s FROM a) AND dst NOT IN (SELECT dst FROM e JOIN a ON src = s)), x AS (SELECT min(e.id) AS id FROM e, a, t WHERE e.src = s AND EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = t)), y AS (SELECT min(f.id) AS id FROM e f, t WHERE f.dst = t AND f.src = (SELECT dst FROM e JOIN x USING (id))) SELECT 0 AS step, e.id, src, dst FROM e JOIN x USING (id) UNION SELECT 1, e.id, src, dst FROM e JOIN y USING (id), t WHERE dst = t AND src = (SELECT dst FROM e JOIN x USING (id))")
+def graph_path(spark, d):
+    """The path of least edge ids from the least source to the least node that is two steps from it."""
+    _, edges = _graph(spark, d)
+    edges = materialise(edges, "edges")
+    source = edges.agg(F.min("src")).first()[0]
+    start = spark.createDataFrame([(source,)], "node long")
+    target = graph.neighbors(edges, start, 2).where("distance = 2").agg(F.min("node")).first()[0]
+    return graph.shortest_path(edges, source, target)
+
+
+@query("graph_subgraph", f"{_OWN}, a AS (SELECT min(src) AS s FROM e), k AS (SELECT s AS node FROM a UNION SELECT dst FROM e JOIN a ON src = s) SELECT id, src, dst FROM e WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
+def graph_subgraph(spark, d):
+    """The edges among the least source and its neighbours."""
+    _, edges = _graph(spark, d)
+    edges = materialise(edges, "edges")
+    return graph.subgraph(edges, edges.agg(F.min("src")).first()[0], 1)[1].select("id", "src", "dst")
+
+
+@query("graph_crossings", f"{_WHOLE}, {_OWNERS} SELECT component, count(*) AS members, count(DISTINCT owner) AS partitions FROM c JOIN o USING (node) GROUP BY component HAVING count(DISTINCT owner) > 1")
+def graph_crossings(spark, d):
+    nodes, edges = _whole(spark, d)
+    return graph.divergence(nodes, edges)["crossings"]
+
+
+@query("graph_subjects", f"{_WHOLE}, {_OWNERS}, {_COMPONENTS} SELECT component, concat(g.label, '::', m.label, '::', l.label, ' (+', members - 1, ')') AS subject, members FROM q JOIN n l ON l.node = component JOIN n m ON l.parent = m.node JOIN n g ON m.parent = g.node WHERE cyclic")
+def graph_subjects(spark, d):
+    """Cyclic components by the qualified label of their least member."""
+    nodes, edges = _whole(spark, d)
+    return graph.component_subjects(graph.strong_components(nodes, edges), graph.qualified_labels(nodes))
+
+
+@query("graph_layout_edges", f"{_OWN} SELECT id, src, dst, kind, certainty, so <> d_o AS crosses FROM h")
+def graph_layout_edges(spark, d):
+    nodes, edges = _graph(spark, d)
+    return graph.layout_edges(edges, graph.partition(nodes))
+
+
+@query("graph_document", f"{_OWN} SELECT 0 AS part, CAST(0 AS BIGINT) AS id, concat('{{\"version\":1,\"nodes\":', (SELECT count(*) FROM n), ',\"edges\":', (SELECT count(*) FROM e), '}}') AS value UNION ALL SELECT 1, node, concat('{{\"id\":', node, CASE WHEN parent IS NULL THEN '' ELSE concat(',\"parent\":', parent) END, ',\"category\":\"', category, '\",\"label\":\"', label, '\"}}') FROM n UNION ALL SELECT 2, id, concat('{{\"id\":', id, ',\"source\":', src, ',\"target\":', dst, ',\"kind\":\"', kind, '\",\"certainty\":\"', certainty, '\"}}') FROM e")
+def graph_document(spark, d):
+    """The graph as rows of a JSON document."""
+    return graph.to_json(*_graph(spark, d))
+
+
 @query("graph_layout", f"{_OWN} SELECT n.node, n.parent, o.owner, coalesce(i, 0) AS incoming, coalesce(u, 0) AS outgoing FROM n JOIN o USING (node) LEFT JOIN (SELECT dst AS node, count(*) AS i FROM e GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS u FROM e GROUP BY src) USING (node)")
 def graph_layout(spark, d):
     nodes, edges = _graph(spark, d)
@@ -495,7 +559,12 @@ def _nations(spark, d):
     return materialise(A.frame(spark, d, A.NATIONS), "nations"), materialise(A.frame(spark, d, A.NATION_EDGES), "nation-edges")
 
 
-_REACH = f"WITH RECURSIVE n AS ({A.sql(A.NATIONS)}), e AS ({A.sql(A.NATION_EDGES)}), r AS (SELECT node AS seed, node FROM n UNION SELECT r.seed, e.dst FROM r JOIN e ON r.node = e.src), c AS (SELECT a.seed AS node, min(a.node) AS component, count(*) > 1 AS many FROM r a JOIN r b ON a.seed = b.node AND a.node = b.seed GROUP BY a.seed)"
+_STRONG = "SELECT node, component, many OR node IN (SELECT src FROM e WHERE src = dst) AS cyclic FROM c"
+_CONDENSED = "SELECT a.component AS source, b.component AS target, count(*) AS edges, min(id) AS first_edge FROM e JOIN c a ON e.src = a.node JOIN c b ON e.dst = b.node WHERE a.component <> b.component GROUP BY ALL"
+# Components are placed one by one: always the least whose predecessors are all placed.
+_ORDERED = ", l AS (SELECT DISTINCT a.component AS source, b.component AS target FROM e JOIN c a ON e.src = a.node JOIN c b ON e.dst = b.node WHERE a.component <> b.component), k AS (SELECT component, list(source) FILTER (source IS NOT NULL) AS needs FROM (SELECT DISTINCT component FROM c) x LEFT JOIN l ON component = target GROUP BY component), t AS (SELECT CAST([] AS BIGINT[]) AS placed, 0 AS done UNION ALL SELECT list_append(placed, (SELECT min(component) FROM k WHERE NOT list_contains(placed, component) AND (needs IS NULL OR list_has_all(placed, needs)))), done + 1 FROM t WHERE done < (SELECT count(*) FROM k)), f AS (SELECT placed FROM t ORDER BY done DESC LIMIT 1) SELECT unnest(placed) AS component, CAST(generate_subscripts(placed, 1) - 1 AS INT) AS place FROM f"
+# Walks as long as the distance are shortest routes; those through a node are those to it times those from it.
+_BETWEEN = ", g AS (SELECT node AS seed, node, 0 AS d FROM n UNION SELECT g.seed, e.dst, d + 1 FROM g JOIN e ON g.node = e.src WHERE d < 25), m AS (SELECT seed, node, min(d) AS d FROM g GROUP BY ALL), w AS (SELECT node AS seed, node, 0 AS d FROM n UNION ALL SELECT w.seed, e.dst, w.d + 1 FROM w JOIN e ON w.node = e.src JOIN m ON m.seed = w.seed AND m.node = e.dst AND m.d = w.d + 1 WHERE e.src <> e.dst), z AS (SELECT seed, node, d, CAST(count(*) AS DOUBLE) AS routes FROM w GROUP BY ALL), b AS (SELECT a.node AS node, sum(a.routes * o.routes / x.routes) AS raw FROM z a JOIN z o ON a.node = o.seed JOIN z x ON x.seed = a.seed AND x.node = o.node AND x.d = a.d + o.d WHERE a.node <> a.seed AND a.node <> o.node AND a.seed <> o.node GROUP BY a.node) SELECT node, round(coalesce(raw, 0), 9) AS raw, round(coalesce(raw, 0) / ((count(*) OVER () - 1) * (count(*) OVER () - 2)), 12) AS score FROM n LEFT JOIN b USING (node)"
 
 
 @query("graph_closure", f"{_REACH} SELECT seed, node FROM r")
@@ -504,27 +573,27 @@ def graph_closure(spark, d):
     return graph.closure(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), nodes)
 
 
-@query("graph_strong_components", f"{_REACH} SELECT node, component, many OR node IN (SELECT src FROM e WHERE src = dst) AS cyclic FROM c")
+@query("graph_strong_components", f"{_REACH} {_STRONG}")
 def graph_strong_components(spark, d):
     return graph.strong_components(*_nations(spark, d))
 
 
-@query("graph_condensation", f"{_REACH} SELECT a.component AS source, b.component AS target, count(*) AS edges, min(id) AS first_edge FROM e JOIN c a ON e.src = a.node JOIN c b ON e.dst = b.node WHERE a.component <> b.component GROUP BY ALL")
+@query("graph_condensation", f"{_REACH} {_CONDENSED}")
 def graph_condensation(spark, d):
     nodes, edges = _nations(spark, d)
     return graph.condensation(edges, graph.strong_components(nodes, edges))
 
 
-@query("graph_topological_order")
+@query("graph_topological_order", f"{_REACH}{_ORDERED}")
 def graph_topological_order(spark, d):
     nodes, edges = _nations(spark, d)
     found = materialise(graph.strong_components(nodes, edges), "components")
     return graph.topological_order(graph.condensation(edges, found), found)
 
 
-@query("graph_betweenness")
+@query("graph_betweenness", f"{_REACH}{_BETWEEN}")
 def graph_betweenness(spark, d):
-    return graph.betweenness(*_nations(spark, d))
+    return graph.betweenness(*_nations(spark, d)).withColumns({"raw": F.round("raw", 9), "score": F.round("score", 12)})
 
 
 @query("graph_connected_components", f"WITH RECURSIVE e AS ({A.sql(A.NATION_EDGES)}), s AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r AS (SELECT DISTINCT a AS seed, a AS node FROM s UNION SELECT r.seed, s.b FROM r JOIN s ON r.node = s.a) SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
@@ -533,7 +602,7 @@ def graph_connected_components(spark, d):
     return graph.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-# The same over the whole graph. The SQL above closes over all pairs, so it stays with the graph of nations.
+# The same over the whole graph.
 
 
 def _whole(spark, d):
@@ -541,25 +610,25 @@ def _whole(spark, d):
     return materialise(nodes, "nodes"), materialise(edges, "edges")
 
 
-@query("graph_strong_components_whole")
+@query("graph_strong_components_whole", f"{_WHOLE} {_STRONG}")
 def graph_strong_components_whole(spark, d):
     return graph.strong_components(*_whole(spark, d))
 
 
-@query("graph_condensation_whole")
+@query("graph_condensation_whole", f"{_WHOLE} {_CONDENSED}")
 def graph_condensation_whole(spark, d):
     nodes, edges = _whole(spark, d)
     return graph.condensation(edges, materialise(graph.strong_components(nodes, edges), "components"))
 
 
-@query("graph_topological_order_whole")
+@query("graph_topological_order_whole", f"{_WHOLE}{_ORDERED}")
 def graph_topological_order_whole(spark, d):
     nodes, edges = _whole(spark, d)
     found = materialise(graph.strong_components(nodes, edges), "components")
     return graph.topological_order(graph.condensation(edges, found), found)
 
 
-@query("graph_connected_components_whole")
+@query("graph_connected_components_whole", f"WITH RECURSIVE e AS (SELECT * FROM ({A.sql(A.EDGES)}) x WHERE kind <> 'depends_on' AND certainty = 'resolved'), s AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r AS (SELECT DISTINCT a AS seed, a AS node FROM s UNION SELECT r.seed, s.b FROM r JOIN s ON r.node = s.a) SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
 def graph_connected_components_whole(spark, d):
     _, edges = _whole(spark, d)
     return graph.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
