@@ -111,6 +111,9 @@ def is_endpoint(value: Column) -> Column:
     return (F.octet_length(value) >= 8) & (value.rlike("^(https?|wss?)://") | is_ipv4(value) | is_ipv6(value))
 
 
+# Fixed values below: the lengths, prefixes and alphabets of keys and credentials.
+
+
 def is_pem(value: Column) -> Column:
     return value.contains("-----BEGIN ")
 
@@ -300,3 +303,46 @@ def length_prefixed(text: Column) -> Column:
     """Eight big-endian bytes of length, then the UTF-8 bytes."""
     body = text.cast("binary")
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body).cast("bigint")), 16, "0")), body)
+
+
+# ---------------------------------------------------------------- places
+
+
+def byte_offset(source: Column, line: Column, col0: Column) -> Column:
+    """Bytes ahead of a place: a line (from 1) and a column (from 0, in characters); null where the line or column is not there."""
+    ahead = F.when(line > 1, F.concat(F.call_function("substring_index", source, F.lit("\n"), (line - 1).cast("int")), F.lit("\n"))).otherwise(F.lit(""))
+    rest = F.element_at(F.split(F.substr(source, F.char_length(ahead) + 1), "\n", 2), 1)
+    there = (line >= 1) & (line <= F.size(F.split(source, "\n"))) & (col0 >= 0) & (col0 <= F.char_length(rest))
+    return F.when(there, F.octet_length(ahead) + F.octet_length(F.substr(rest, F.lit(1), col0)))
+
+
+def place_of(source: Column, offset: Column) -> Column:
+    """line (from 1), col0 in characters and byte0 in bytes of a byte offset; null beyond the source or inside a character."""
+    ahead = F.try_validate_utf8(F.substring(source.cast("binary"), F.lit(1), offset.cast("int")).cast("string"))
+    last = F.element_at(F.split(ahead, "\n"), -1)
+    there = ahead.isNotNull() & (offset >= 0) & (offset <= F.octet_length(source))
+    return F.when(there, F.struct(F.size(F.split(ahead, "\n")).alias("line"), F.char_length(last).alias("col0"), F.octet_length(last).alias("byte0")))
+
+
+def confined(path: Column, root: Column) -> Column:
+    """Whether a path, with ``.`` and ``..`` resolved, stays inside the root. What climbs above its own start does not."""
+    step = lambda held, part: F.when(held.isNull(), held).when(part.isin("", "."), held).when((part == "..") & (F.size(held) > 0), F.slice(held, 1, F.size(held) - 1)).when(part == "..", F.lit(None)).otherwise(F.concat(held, F.array(part)))
+    plain = lambda p: F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+    inner, outer = plain(path), plain(root)
+    return F.coalesce((F.size(inner) >= F.size(outer)) & (F.slice(inner, 1, F.size(outer)) == outer), F.lit(False))
+
+
+def sink_capability(path: Column) -> Column:
+    """The capability of the innermost module segment of a function's path that is a known sink; null if none is."""
+    known = F.create_map(*[F.lit(x) for kv in vocab.SINK_MODULES.items() for x in kv])
+    hits = F.filter(F.transform(F.reverse(F.slice(F.split(path, "::"), 1, F.greatest(F.size(F.split(path, "::")) - 1, F.lit(0)))), lambda s: known[s]), lambda c: c.isNotNull())
+    return F.get(hits, F.lit(0))
+
+
+def is_mutation(method: Column) -> Column:
+    """Whether a method changes the vector or string that it is called on."""
+    return method.isin(vocab.VEC_MUTATIONS + vocab.STRING_MUTATIONS)
+
+
+def is_copy_type(name: Column) -> Column:
+    return name.isin(vocab.COPY_TYPES)

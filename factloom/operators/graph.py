@@ -328,17 +328,16 @@ def divergence(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
 
 
 def component_subjects(components: DataFrame, labels: DataFrame) -> DataFrame:
-    """component, subject and members: a cyclic component is named after its least member, with the number of the others."""
+    """component, subject and members: a cyclic component is named after its least member."""
     named = components.where("cyclic").join(labels, "node", "left")
-    sums = named.groupBy("component").agg(F.count("*").alias("members"), F.min_by("path", "node").alias("first"))
-    return sums.select("component", F.when(F.col("members") > 1, F.concat("first", F.lit(" (+"), (F.col("members") - 1).cast("string"), F.lit(")"))).otherwise(F.col("first")).alias("subject"), "members")
+    return named.groupBy("component").agg(F.concat(F.lit("scc::"), F.min_by("path", "node")).alias("subject"), F.count("*").alias("members"))
 
 
 def validate_component_facts(facts: DataFrame) -> None:
-    """Each component once, with a member at least, no more partitions than members, and cyclic if it has several; else ValueError."""
+    """Each component once, with members and partitions, no more of these than of those, and cyclic if it has several members; else ValueError."""
     if not facts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("a component is stated twice")
-    if not facts.where("members < 1 or partitions > members or (members > 1 and not cyclic) or component is null").isEmpty():
+    if not facts.where("members < 1 or partitions < 1 or partitions > members or (members > 1 and not cyclic) or component is null").isEmpty():
         raise ValueError("a component fact contradicts itself")
 
 

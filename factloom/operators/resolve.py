@@ -66,6 +66,34 @@ def resolve_paths(paths: DataFrame, bindings: DataFrame, scopes: DataFrame, inne
     return done.distinct()
 
 
+def associated_items(references: DataFrame, definitions: DataFrame) -> DataFrame:
+    """ref_id and def_id of ``Type::item`` references (ref_id, owner_def, name): all items that the owner's blocks define by that name."""
+    items = definitions.where("owner is not null").select(F.col("owner").alias("owner_def"), "name", "def_id")
+    return references.join(items, ["owner_def", "name"]).select("ref_id", "def_id").distinct()
+
+
+def methods(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """ref_id, def_id and dynamic of method calls (ref_id, receiver, name).
+
+    A call whose receiver type is known takes that type's methods of the name; a
+    call without one, or whose type has none, is dynamic and names no definition.
+    """
+    own = definitions.where("kind = 'method'").select(F.col("owner").alias("receiver"), "name", "def_id")
+    found = calls.join(own, ["receiver", "name"], "left").select("ref_id", "def_id").distinct()
+    return found.withColumn("dynamic", F.col("def_id").isNull())
+
+
+def unit_names(dependencies: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, name, target: what each unit calls the units that it may name; its own crate, and dependencies by rename or package.
+
+    Hyphens in package names are underscores in source. ``dependencies``: unit,
+    name (as declared), target; ``units``: unit, package.
+    """
+    source = lambda c: F.translate(c, "-", "_")
+    own = units.select("unit", source(F.col("package")).alias("name"), F.col("unit").alias("target"))
+    return own.unionByName(dependencies.select("unit", source(F.col("name")).alias("name"), "target")).distinct()
+
+
 def certainty(candidates: Column, conditional: Column) -> Column:
     return F.when((candidates == 1) & ~conditional, "resolved").otherwise("possible")
 

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None, **adapters: str):
 
 
 def queries() -> dict[str, Query]:
-    from factloom.plans import planted  # noqa: F401  registers its own
+    from factloom.plans import planted, projects  # noqa: F401  they register their own
 
     return {name: f for name, (f, _) in _REGISTERED.items()}
 
@@ -530,7 +530,7 @@ def graph_crossings(spark, d):
     return graph.divergence(nodes, edges)["crossings"]
 
 
-@query("graph_subjects", f"{_WHOLE}, {_OWNERS}, {_COMPONENTS} SELECT component, concat(g.label, '::', m.label, '::', l.label, ' (+', members - 1, ')') AS subject, members FROM q JOIN n l ON l.node = component JOIN n m ON l.parent = m.node JOIN n g ON m.parent = g.node WHERE cyclic")
+@query("graph_subjects", f"{_WHOLE}, {_OWNERS}, {_COMPONENTS} SELECT component, concat('scc::', g.label, '::', m.label, '::', l.label) AS subject, members FROM q JOIN n l ON l.node = component JOIN n m ON l.parent = m.node JOIN n g ON m.parent = g.node WHERE cyclic")
 def graph_subjects(spark, d):
     """Cyclic components by the qualified label of their least member."""
     nodes, edges = _whole(spark, d)

@@ -72,7 +72,8 @@ IMPORTS = {
 CALLS = {
     "python": [
         ("os.system(", "process_exec", "os.system"),
-        *[(f"os.exec{x}(", "process_exec", "os.exec*") for x in ("l", "le", "lp", "lpe", "v", "ve", "vp", "vpe")],
+        ("os.execl(", "process_exec", "os.exec*"), ("os.execle(", "process_exec", "os.exec*"), ("os.execlp(", "process_exec", "os.exec*"), ("os.execlpe(", "process_exec", "os.exec*"),
+        ("os.execv(", "process_exec", "os.exec*"), ("os.execve(", "process_exec", "os.exec*"), ("os.execvp(", "process_exec", "os.exec*"), ("os.execvpe(", "process_exec", "os.exec*"),
         ("os.environ", "env_access", "os.environ"), ("os.getenv(", "env_access", "os.getenv"), ("open(", "file_read", "open()"),
         ("shutil.copy(", "file_write", "shutil.copy"), ("shutil.copy2(", "file_write", "shutil.copy"), ("shutil.copytree(", "file_write", "shutil.copy"), ("shutil.move(", "file_write", "shutil.move"), ("shutil.rmtree(", "file_write", "shutil.rmtree"),
     ],
@@ -106,3 +107,12 @@ CHECKS = [
     ("feature-boundary", "Cargo feature crosses a configured boundary", "structure", False), ("flat-module-family", "Prefixed module family member outside its package directory", "structure", False), ("conflicting-module-root", "Sibling `<stem>.rs` and `<stem>/` module roots", "structure", False), ("ungated-test-api", "Test-only API under src/ not gated behind a feature", "structure", False),
     ("high-method-count", "Type has too many inherent methods (god-object)", "structure", False), ("scattered-inherent-impl", "A type's inherent impls span more than one file", "structure", False), ("large-source-file", "Source file exceeds the configured line ceiling", "structure", False),
 ]
+
+# Module segments that are sinks, methods that change a vector or string, and types that are copied.
+SINK_MODULES = {"net": "network", "process": "process_exec"}
+VEC_MUTATIONS = [
+    "push", "pop", "insert", "remove", "swap_remove", "truncate", "clear", "retain", "reserve", "resize", "extend", "append", "splice", "drain", "dedup", "dedup_by", "dedup_by_key",
+    "sort", "sort_by", "sort_by_key", "sort_unstable", "sort_unstable_by", "sort_unstable_by_key", "reverse", "rotate_left", "rotate_right", "fill", "fill_with",
+]
+STRING_MUTATIONS = ["push_str", "insert_str", "replace_range"]
+COPY_TYPES = ["bool", "char", "f32", "f64", "i8", "i16", "i32", "i64", "i128", "isize", "u8", "u16", "u32", "u64", "u128", "usize"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.scalar import escape_message, escape_property
-from factloom.plans import vocab
 
 #: Version of the attestation format that is written.
 SPEC_VERSION = "0.1.0"
@@ -47,16 +46,13 @@ def project_gate_annotations(verdicts: DataFrame, tier: str, targets: list[str])
     """value: a notice of what was judged, and at which tier, then a workflow command for each verdict; ``ord`` is the order."""
     spark = verdicts.sparkSession
     said = f"analysis tier: {tier}; targets: {', '.join(targets) if targets else 'none'}"
-    notice = spark.createDataFrame([(0, said)], "ord int, said string").select("ord", F.concat(F.lit("::notice title=gate::"), escape_message(F.col("said"))).alias("value"))
+    notice = spark.createDataFrame([(0, said)], "ord int, said string").select("ord", F.concat(F.lit("::notice title=module-boundary::"), escape_message(F.col("said"))).alias("value"))
     return notice.unionByName(verdict_annotations(verdicts).select(F.lit(1).alias("ord"), "value"))
 
 
-def ci_outputs(report: DataFrame, status: str) -> DataFrame:
-    """value: ``name=value`` lines for a workflow's output file: the status, and how many findings there are at each level."""
-    levels = list(vocab.LEVELS)
-    held = report.agg(*[F.count_if(F.col("level") == x).alias(x) for x in levels])
-    pairs = [F.concat(F.lit("status="), F.lit(status)), *[F.concat(F.lit(f"{x}="), F.col(f"`{x}`").cast("string")) for x in levels]]
-    return held.select(F.posexplode(F.array(*pairs)).alias("ord", "value"))
+def ci_outputs(status: DataFrame, report_path: str) -> DataFrame:
+    """ord and value: ``name=value`` lines for a workflow's output file, the overall status (a one-row frame) and where the report lies."""
+    return status.select(F.posexplode(F.array(F.concat(F.lit("status="), F.col("status")), F.lit(f"report={report_path}"))).alias("ord", "value"))
 
 
 def snippets(units: DataFrame, sources: DataFrame) -> DataFrame:

@@ -61,7 +61,49 @@ def read_index(spark: SparkSession, where: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(where).where("path is not null")
 
 
+def crate_rows(index: DataFrame) -> DataFrame:
+    """crate, files, degraded, findings, capabilities and verdicts of each crate of an index: all that follows from its files."""
+    from factloom.operators import checks, gate, rust, scan
+    from factloom.scratch import materialise
+    from factloom.sources.files import classified
+
+    columns = ["file", "line", "capability", "evidence", "origin", "language", "execution_context"]
+    files = materialise(index.where("path is not null"), "index-files")
+    text = scan.analyze(classified(files.select("path", F.coalesce("source", F.lit("")).alias("source")))).select(*columns)
+    code = checks.rust_findings(materialise(rust.extract(files), "index-facts"))
+    hook = F.when(F.col("file").rlike("(^|/)build\\.rs$"), F.lit("build_hook"))
+    code = code.select("file", "line", "capability", "evidence", "origin", F.lit(None).cast("string").alias("language"), hook.alias("execution_context"))
+    found = text.unionByName(code).join(files.select(F.col("path").alias("file"), "crate"), "file")
+    found = materialise(found, "index-findings")
+    sums = files.groupBy("crate").agg(F.count("*").alias("files"), F.count("degraded").alias("degraded"))
+    held = found.groupBy("crate").agg(F.count("*").alias("findings"), F.array_sort(F.collect_set("capability")).alias("capabilities"))
+    rules = gate.verdicts(found, None, ["crate"]).groupBy("crate").agg(F.array_sort(F.collect_set("rule")).alias("verdicts"))
+    none = F.array().cast("array<string>")
+    out = sums.join(held, "crate", "left").join(rules, "crate", "left")
+    return out.select("crate", "files", "degraded", F.coalesce("findings", F.lit(0)).cast("bigint").alias("findings"), F.coalesce("capabilities", none).alias("capabilities"), F.coalesce("verdicts", none).alias("verdicts"))
+
+
+def reindex(spark: SparkSession, where: str, changes: DataFrame, error=None) -> None:
+    """Apply a batch of changes, and redo what follows from the files of the crates that it touched.
+
+    The rows by crate lie beside the index, at ``where`` and ``-crates``; a crate without files keeps none.
+    """
+    from factloom.scratch import materialise
+
+    changes = materialise(changes, "changes")
+    upsert(spark, where, changes, error)
+    touched = changes.select("crate").distinct()
+    after = materialise(crate_rows(read_index(spark, where).join(touched, "crate", "left_semi")), "crate-rows")
+    emptied = touched.join(after.select("crate"), "crate", "left_anti").select("crate", F.lit(None).cast("bigint").alias("files"))
+    rows = after.unionByName(emptied, allowMissingColumns=True).select("files", "degraded", "findings", "capabilities", "verdicts", "crate")
+    rows.repartition("crate").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("crate").parquet(f"{where}-crates")
+
+
+def read_crates(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.schema("files bigint, degraded bigint, findings bigint, capabilities array<string>, verdicts array<string>, crate string").parquet(f"{where}-crates").where("files is not null")
+
+
 def watch(spark: SparkSession, feed: str, where: str, checkpoint: str, error=None):
     """Follow a folder of JSON changes; returns the started query."""
     stream = spark.readStream.schema(CHANGE).json(feed)
-    return stream.writeStream.foreachBatch(lambda batch, _: upsert(batch.sparkSession, where, batch, error)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, _: reindex(batch.sparkSession, where, batch, error)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from factloom import scratch
 from factloom.functions import scalar as S
 from factloom.operators import checks, graph, rust, structured, style, supply
-from factloom.plans import vocab
 from factloom.sources import files, sinks
 
 
@@ -112,7 +111,7 @@ def test_divergence_layout_and_json(spark):
     assert {r.id: r.crosses for r in graph.layout_edges(edges, owners).collect()} == {0: True, 1: True, 2: False}
     assert {r.node: r.betweenness for r in graph.layout(nodes, edges, owners, graph.betweenness(nodes, edges)).collect()} == dict.fromkeys(range(4), 0.0)
     named = graph.component_subjects(graph.strong_components(nodes, edges), graph.qualified_labels(nodes)).collect()
-    assert [(r.component, r.subject, r.members) for r in named] == [(2, "a::f (+1)", 2)]
+    assert [(r.component, r.subject, r.members) for r in named] == [(2, "scc::a::f", 2)]
     parts = [json.loads(r.value) for r in graph.to_json(nodes, edges).orderBy("part", "id").collect()]
     assert parts[0] == {"version": 1, "nodes": 4, "edges": 3} and parts[3] == {"id": 2, "parent": 0, "category": "function", "label": "f"} and parts[5]["source"] == 2
 
@@ -120,9 +119,9 @@ def test_divergence_layout_and_json(spark):
 def test_outputs(spark):
     verdicts = spark.createDataFrame([("r", "deny", "a%b"), ("s", "info", "x")], "rule string, severity string, rationale string")
     lines = [r.value for r in sinks.project_gate_annotations(verdicts, "syntactic", ["lib", "bin"]).orderBy("ord", "value").collect()]
-    assert lines == ["::notice title=gate::analysis tier: syntactic; targets: lib, bin", "::error title=r::a%25b", "::notice title=s::x"]
-    report = spark.createDataFrame([("new-dependency",), ("new-dependency",), ("hash-mismatch",)], "level string")
-    assert [r.value for r in sinks.ci_outputs(report, "hash-mismatch").orderBy("ord").collect()] == ["status=hash-mismatch", *[f"{x}={n}" for x, n in zip(vocab.LEVELS, (0, 2, 0, 1), strict=True)]]
+    assert lines == ["::notice title=module-boundary::analysis tier: syntactic; targets: lib, bin", "::error title=r::a%25b", "::notice title=s::x"]
+    worst = supply.overall(spark.createDataFrame([("new-dependency",), ("hash-mismatch",)], "level string"))
+    assert [r.value for r in sinks.ci_outputs(worst, "/r.json").orderBy("ord").collect()] == ["status=hash-mismatch", "report=/r.json"]
     units = spark.createDataFrame([("a.py", "function", "f", 3, 9)], "file string, kind string, name string, start int, end int")
     (got,) = sinks.snippets(units, spark.createDataFrame([("a.py", "é\ndef f(): pass")], "path string, source string")).collect()
     assert json.loads(got.value) == {"version": 1, "location": {"file": "a.py", "line": 2, "start": 3, "end": 9}, "kind": "function", "name": "f", "text": "def f("}
