@@ -59,11 +59,13 @@ def _rows(path: str, source: str) -> list[tuple]:
     return out
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """path, kind, name, body (JSON) rows of all Cargo.toml files among (path, source)."""
+def parse(files: DataFrame, ceiling: int = CEILING) -> DataFrame:
+    """path, kind, name, body (JSON) rows of all Cargo.toml files among (path, source); more of them than the ceiling are refused."""
     import pyarrow as pa
 
     ship(files.sparkSession)
+    if (n := files.where(S.file_name(F.col("path")) == "Cargo.toml").count()) > ceiling:
+        raise ValueError(f"the project has {n} manifests, more than {ceiling}")
 
     def run(batches):
         for b in batches:
@@ -82,13 +84,20 @@ def directory(path) -> F.Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
+def with_ancestors(rows: DataFrame, path, name: str) -> DataFrame:
+    """A row for each folder that a path lies in or is, the root (an empty path) included: what joins on prefixes by equality."""
+    parts = F.split(path, "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return rows.withColumn(name, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), up))))
+
+
 def packages(rows: DataFrame) -> DataFrame:
     """path, directory, name, version, edition, rust_version: what a package leaves to its workspace comes from the nearest one above."""
     own = _of(rows, "package", "version string, edition string, `rust-version` string, inherits array<string>, build string, autobins boolean").withColumn("directory", directory(F.col("path")))
     shared = rows.where("kind = 'shared'").select(directory(F.col("path")).alias("_root"), F.col("name").alias("_key"), F.get_json_object("body", "$.value").alias("_value"))
     held = shared.groupBy("_root").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("_shared"))
-    above = (F.col("directory") == F.col("_root")) | (F.col("_root") == "") | F.col("directory").startswith(F.concat("_root", F.lit("/")))
-    joined = own.join(held, above, "left").groupBy(*own.columns).agg(F.max_by("_shared", F.length("_root")).alias("_s"))
+    up = with_ancestors(own, F.col("directory"), "_up")
+    joined = up.join(held, F.col("_up") == F.col("_root"), "left").groupBy(*own.columns).agg(F.max_by("_shared", F.length("_root")).alias("_s"))
     pick = lambda c: F.when(F.array_contains("inherits", c), F.col("_s")[c]).otherwise(F.col(f"`{c}`"))
     return joined.select("path", "directory", "name", pick("version").alias("version"), pick("edition").alias("edition"), pick("rust-version").alias("rust_version"), "build", "autobins")
 
@@ -125,7 +134,7 @@ def members(rows: DataFrame) -> DataFrame:
     w = _of(rows, "workspace", "members array<string>, exclude array<string>").withColumn("root", directory(F.col("path")))
     p = rows.where("kind = 'package'").select(directory(F.col("path")).alias("directory")).distinct()
     inner = F.when(F.col("root") == "", F.col("directory")).when(F.col("directory").startswith(F.concat("root", F.lit("/"))), F.substr("directory", F.length("root") + 2))
-    joined = w.join(p, (F.col("root") == "") | (F.col("directory") == F.col("root")) | F.col("directory").startswith(F.concat("root", F.lit("/")))).withColumn("inner", inner)
+    joined = with_ancestors(p, F.col("directory"), "root").join(w, "root").withColumn("inner", inner)
     segments = lambda g: F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(g, "([.+(){}|^$\\[\\]\\\\])", "\\\\$1"), "\\*", "[^/]*"), F.lit("$"))
     hit = F.exists("members", lambda g: F.rlike(F.col("inner"), segments(g))) | (F.col("directory") == F.col("root"))
     out = F.exists("exclude", lambda g: (F.col("inner") == g) | F.col("inner").startswith(F.concat(g, F.lit("/"))))
@@ -140,7 +149,7 @@ def targets(rows: DataFrame, files: DataFrame) -> DataFrame:
     folder = S.one_of([("lib", "src/lib.rs"), ("bin", "src/bin/"), ("example", "examples/"), ("test", "tests/"), ("bench", "benches/")], F.col("kind"))
     usual = F.when(F.col("kind") == "lib", F.lit("src/lib.rs")).otherwise(F.concat(folder, F.col("name"), F.lit(".rs")))
     declared = said.join(p, "directory").select("directory", "kind", F.coalesce("name", "package").alias("name"), full(F.coalesce("given", usual)).alias("path"))
-    at = files.select("path").distinct().join(p, F.col("path").startswith(F.concat("directory", F.when(F.col("directory") != "", "/").otherwise(""))))
+    at = with_ancestors(files.select("path").distinct(), directory(F.col("path")), "directory").join(p, "directory")
     inner = F.when(F.col("directory") == "", F.col("path")).otherwise(F.substr("path", F.length("directory") + 2))
     at = at.withColumn("inner", inner)
     stem = F.regexp_extract("inner", "([^/]+)\\.rs$", 1)

@@ -186,3 +186,63 @@ def test_matching_functions_are_null_safe(spark):
     frame = spark.createDataFrame([(None,)], "x string")
     assert frame.select(S.wildcard(F.col("x"), "a*b*c")).first()[0] is False
     assert rust.scan("mod a { mod b { fn f() {} } }")[0][4]["inline"] is True
+
+
+def test_reports_are_read_and_built_within_limits(spark, tmp_path):
+    from factloom.sources import reports
+
+    whole = {"units": [{"unit": "u"}], "files": [{"unit": "u", "path": "a.rs", "lines": 3}], "definitions": [{"def_id": i, "unit": "u", "path": "a.rs", "kind": "function", "name": "f", "line": i, "col": 0, "end_line": i, "end_col": 1, "parent": None} for i in range(2)], "references": [], "resolutions": []}
+    (tmp_path / "r.json").write_text(json.dumps(whole))
+    held = reports.read_report(spark, str(tmp_path / "r.json"))
+    assert held["definitions"].count() == 2 and reports.problems(held).count() == 0
+    with pytest.raises(ValueError, match="2 definitions"):
+        reports.read_report(spark, str(tmp_path / "r.json"), reports.LIMITS | {"definitions": 1})
+    b = reports.Builder(reports.LIMITS | {"definitions": 3})
+    b.append("definitions", held["definitions"])
+    with pytest.raises(ValueError, match="4 definitions"):
+        b.append("definitions", held["definitions"])
+    b = reports.Builder()
+    b.append("definitions", held["definitions"])
+    refs = spark.createDataFrame([(1, "u", "a.rs", "call", 0, 0, 0, 1, 1)], "ref_id long, unit string, path string, kind string, line int, col int, end_line int, end_col int, owner long")
+    b.append("references", refs)
+    records = spark.createDataFrame([(1, 0, "resolved")], "ref_id long, def_id long, certainty string")
+    b.append("resolutions", records)
+    assert b.tables()["resolutions"].count() == 1
+    for bad in (records.withColumn("def_id", F.lit(9)), records.withColumn("ref_id", F.lit(9))):
+        with pytest.raises(ValueError, match="does not hold"):
+            b.append("resolutions", bad)
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
+    from factloom.streaming import changes
+
+    where = str(tmp_path / "index")
+    rows = spark.createDataFrame([(1, "c", "c/a.py", "create", "import socket\n"), (2, "d", "d/b.sh", "create", "curl x\n")], changes.CHANGE)
+    for _ in range(2):
+        changes.reindex(spark, where, rows)
+    got = {r.crate: (r.files, r.findings, r.capabilities) for r in changes.read_crates(spark, where).collect()}
+    assert got == {"c": (1, 1, ["network"]), "d": (1, 1, ["network"])}
+    changes.reindex(spark, where, spark.createDataFrame([(3, "c", "c/a.py", "remove", None)], changes.CHANGE))
+    assert [r.crate for r in changes.read_crates(spark, where).collect()] == ["d"]
+
+
+def test_items_of_an_owner(spark):
+    from factloom.operators import resolve
+
+    refs = spark.createDataFrame([(1, 7, "N"), (2, 7, "zz"), (3, 8, "N")], "ref_id long, owner_def long, name string")
+    held = spark.createDataFrame([(20, 7, "N"), (21, 7, "N"), (22, None, "N")], "def_id long, owner long, name string")
+    assert {(r.ref_id, r.def_id) for r in resolve.associated_items(refs, held).collect()} == {(1, 20), (1, 21)}
+
+
+def test_prefix_joins_have_equalities(spark):
+    """No nested loop in the plans of packages, members, targets, the tree scan's owners and the as-of baselines."""
+    from factloom.sources import manifests
+
+    tree = spark.createDataFrame([("w/Cargo.toml", '[workspace]\nmembers = ["a"]\n'), ("w/a/Cargo.toml", '[package]\nname = "a"\n'), ("w/a/src/lib.rs", "")], "path string, source string")
+    held = scratch.materialise(manifests.parse(tree), "plan-test")
+    for frame in (manifests.packages(held), manifests.members(held), manifests.targets(held, tree), files.owning_root(tree, tree.selectExpr("path AS root")), supply.prior_baseline(*[spark.createDataFrame([("a", "1.0.0")], "name string, version string")] * 2)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert [r.root for r in manifests.members(held).collect()] == ["w"]
+    with pytest.raises(ValueError, match="more than 1"):
+        manifests.parse(tree, 1)
