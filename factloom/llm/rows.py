@@ -102,5 +102,5 @@ def _entries(folder: str, file: int, stretch: int, values: list[str], bits: int)
     if not found:
         return np.empty(0, np.int64), [np.empty(0, np.int64) for _ in values]
     wanted = (ds.field("file") == file) & (ds.field("at") >= stretch << bits) & (ds.field("at") < (stretch + 1) << bits)
-    table = ds.dataset(found, filesystem=store, format="parquet").to_table(columns=["at", *values], filter=wanted).sort_by("at")
+    table = ds.dataset(found, filesystem=store, format="parquet").to_table(columns=["at", *values], filter=wanted, use_threads=False).sort_by("at")
     return table.column("at").to_numpy(), [table.column(v).to_numpy() for v in values]
