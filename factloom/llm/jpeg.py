@@ -34,7 +34,9 @@ WIDTH, HEIGHT = 64, 8191
 SOI, EOI, SOF0, DHT, DQT, DRI, SOS, COM = 0xD8, 0xD9, 0xC0, 0xC4, 0xDB, 0xDD, 0xDA, 0xFE
 
 #: Code lengths of the DC categories 0 to 8 of the images that are written; the only AC symbol is end of block.
-_DC_LENGTHS = {0: 4, 1: 5, 2: 4, 3: 3, 4: 3, 5: 3, 6: 2, 7: 3, 8: 5}
+#: A block of code, extra bits and end takes one byte, or two where neighbours differ by 32 or more, so that the
+#: same text gives the same bytes wherever it stands, and the codec of the files that hold the images finds repeats.
+_DC_LENGTHS = {0: 7, 1: 6, 2: 5, 3: 4, 4: 3, 5: 2, 6: 9, 7: 8, 8: 7}
 
 
 # ---------------------------------------------------------------- Huffman tables
@@ -111,7 +113,7 @@ def encode(payloads: list[bytes], comments: list[bytes]) -> list[bytes]:
     samples = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, WIDTH)
     dc = np.ascontiguousarray(samples.T).astype(np.int32)  # step by lane
     lanes = dc.shape[1]
-    # A row takes at most 64 blocks of 14 bits, 112 bytes; stuffing comes after.
+    # A row takes at most 64 blocks of 16 bits, 128 bytes; stuffing comes after.
     out = np.zeros((lanes, 128), dtype=np.uint8)
     flat, base = out.reshape(-1), np.arange(lanes, dtype=np.int64) * 128
     held, bits, at = np.zeros(lanes, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64), np.zeros(lanes, dtype=np.int64)
@@ -122,8 +124,8 @@ def encode(payloads: list[bytes], comments: list[bytes]) -> list[bytes]:
         n = length[index]
         held = held << n | code[index]
         bits += n
-        if step % 2 or step == WIDTH - 1:  # under 7 + 2 * 14 bits are held
-            for _ in range(4):
+        if step % 2 or step == WIDTH - 1:  # up to 7 + 2 * 16 bits are held
+            for _ in range(4):  # bytes
                 full = np.flatnonzero(bits >= 8)
                 if not len(full):
                     break
@@ -404,6 +406,13 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, media binary")
 
 
+def store(docs: DataFrame, where: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the media column of all documents to Parquet files at ``where``, compressed by zstandard, and return a scan of them."""
+    rows = to_media(docs, id_col, text_col)
+    rows.write.option("compression", "zstd").parquet(where)
+    return docs.sparkSession.read.schema(rows.schema).parquet(where)
+
+
 def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """What the stored images hold: dimensions, thumbnail hashes and digests of the samples read back.
 

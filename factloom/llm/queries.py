@@ -56,7 +56,7 @@ def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as a baseline JPEG in the shared scratch folder and reads dimensions, thumbnail and digests back."""
-    found = jpeg.features(scratch.materialise(jpeg.to_media(_table(spark, sf_dir, "documents")), "media"))
+    found = jpeg.features(jpeg.store(_table(spark, sf_dir, "documents"), scratch.path(spark, "media")))
     feature = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(":"), "thumbnail_hash", F.lit(":"), "thumbnails_sha1")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 

@@ -186,8 +186,8 @@ def plain_difference_hash(samples, width=64):
     return f"{int(''.join('01'[b] for b in bits), 2):016x}"
 
 
-def test_image_feature_against_plain_loops(docs, texts, monkeypatch):
-    media = scratch.materialise(jpeg.to_media(docs), "media-test")
+def test_image_feature_against_plain_loops(spark, docs, texts, monkeypatch):
+    media = jpeg.store(docs, scratch.path(spark, "media-test"))
     got = {r.doc_id: r for r in jpeg.features(media).collect()}
     for i, t in texts:
         raw = (t or "").encode()
