@@ -112,9 +112,12 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     firsts = placed.groupBy(at).agg(F.min(F.struct(id_.alias("id"), F.col(tie).alias("tie"))).alias("first"))
     starts = sorted((r[at], r["first"]["id"], r["first"]["tie"]) for r in firsts.collect())
     # The first row of a stretch goes to the stretch before it too, that of the first stretch to the last.
-    lent = spark.createDataFrame([(i, t, starts[k - 1][0]) for k, (_, i, t) in enumerate(starts)], "_lent_id bigint, _lent_tie bigint, _lent_to bigint")
-    lent = lent.groupBy("_lent_id", "_lent_tie").agg(F.collect_set("_lent_to").alias("_lent_to"))
-    mixed = placed.join(lent, id_.eqNullSafe(F.col("_lent_id")) & (F.col(tie) == F.col("_lent_tie")), "left")
+    to: dict[tuple, set[int]] = {}
+    for k, (_, i, t) in enumerate(starts):
+        to.setdefault((i, t), set()).add(starts[k - 1][0])
+    lent = spark.createDataFrame([(*place, sorted(held)) for place, held in to.items()], "_lent_id bigint, _lent_tie bigint, _lent_to array<bigint>")
+    # One row for each stretch, so it is sent to every task and the texts are dealt out once, by stretch.
+    mixed = placed.join(F.broadcast(lent), id_.eqNullSafe(F.col("_lent_id")) & (F.col(tie) == F.col("_lent_tie")), "left")
     own = F.array(F.struct(F.col(at).alias("at"), F.lit(0).alias("copy")))
     others = F.transform(F.coalesce("_lent_to", F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("at"), F.lit(1).alias("copy")))
     dealt = mixed.withColumn(sent, F.explode(F.concat(own, others)))
