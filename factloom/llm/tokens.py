@@ -19,8 +19,8 @@ _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _ODD = re.compile(f"[^\\n -~{_L}¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€]")
 _ODD_ASCII = re.compile("[^\\n -~]")
 _PARTS = re.compile(f" ?[{_L}]+|[^{_L}]+")
-#: Entries of each cache, some 300 MB in all when full; a full cache is kept as it is.
-CACHE = 700_000
+#: Entries of each cache, some 150 MB in all when full; a full cache is kept as it is.
+CACHE = 350_000
 
 
 @lru_cache(maxsize=4)
