@@ -1,27 +1,35 @@
-"""Near-duplicates by Jaccard likeness of five-word shingles.
-
-Candidates come from MinHash bands: texts that share a band are linked to the
-least of them, so a band of n texts gives n - 1 links. The groups so linked
-only say which texts may be alike. Within each group every pair is open to an
-exact test on the whole shingle sets, and the pairs that pass are searched as
-a graph whose spanning forest is returned, as in ``simhash.spanning_links``.
-A pair at the threshold misses all bands with a chance of (1 - 0.8^5)^25, that
-is 5 in 100,000; a pair at 0.85 one of 4 in 10,000,000.
-
-A 64-bit SimHash cannot serve here: pairs at 0.8 lie some 8 bits and more
-apart, and among ten million texts every text has strangers within 12 bits.
+"""Near-duplicates by SimHash fingerprints and an exact Jaccard test of five-word shingles.
+
+The fingerprint of a text has BITS bits: a bit is 1 if over half of the text's
+distinct shingles have it. Two texts of likeness 0.8 or more differ in a bit
+with a chance of at most DIFFER. Those that differ in at most DISTANCE of the
+first COMPARED bits are linked; strangers come that near with a chance of 2 in
+10^14 (a distance of 4 in 64 bits finds copies alone: pairs at 0.8 lie some 10
+of 64 bits apart, and among ten million texts every text has strangers within
+12). Only texts that agree on all sampled bits of some key are compared; keys
+have more bits and are more the more texts there are, and up to FILE texts have
+one key of no bit, so that all pairs are compared.
+
+The groups so linked say which texts may be alike. Within each group every pair
+is open to an exact test on the whole shingle sets, and the pairs that pass are
+searched as a graph whose spanning forest is returned, as in
+``simhash.spanning_links``. By calculation a pair at the threshold is missed
+with a chance of 3 in 100,000 at twelve million texts, of 15 in 100,000 if the
+sets are of some fifteen shingles, and of 4 in 1000 at worst, which are texts
+of eight and nine words; fewer texts and closer pairs have less.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from factloom.llm.common import short_batches, utf8
 from factloom.llm.rows import finder, with_places
@@ -29,13 +37,17 @@ from factloom.llm.simhash import components, keep_least
 from factloom.scratch import materialise
 
 SHINGLE, LIKENESS = 5, 0.8
-#: Minima that make a band, and bands of a text.
-ROWS, BANDS = 5, 25
+#: Bits of a fingerprint; the first of them that are compared, at most DISTANCE apart; bits of the first 64 that may differ in a first look.
+BITS, COMPARED, DISTANCE, GLANCE = 1024, 256, 68, 25
+#: The chance that a bit differs at likeness 0.8 (0.15 for many shingles, 0.16 for some of few), and that no key of such a pair agrees.
+DIFFER, MISS = 0.16, 2e-5
+#: Members of one file, that is of one key: usual at most, and in a chunk of those that have more.
+FILE = 1024
+FILE_CHUNK = 4096
 #: Members and bytes of shingles that one task compares; groups with more are dealt out as pairs of chunks.
 CHUNK, CHUNK_BYTES = 1024, 8 << 20
 
-_RANDOM = np.random.default_rng(5)
-_TIMES, _PLUS, _MIX = (_RANDOM.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+_SEEDS = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -50,12 +62,82 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts)))
 
 
-def bands(marks: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of ROWS minima of a shingle set that is not empty; keys of different bands do not meet."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(marks), 1024):
-        least = np.minimum(least, (marks[at : at + 1024] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
-    return (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def fingerprint(marks: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes as BITS / 8 bytes: each hash gives BITS bits by splitmix64, and a bit is 1 if over half have it."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(marks), 255):
+        z = marks[at : at + 255, None] + _SEEDS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(z.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(marks), bitorder="little")
+
+
+def sampled(texts: int) -> np.ndarray:
+    """The places of the bits of each key (a row a key) for so many texts: strangers share a file with FILE others at most."""
+    bits = max(0, math.ceil(math.log2(max(1, texts) / FILE)))
+    keys = math.ceil(math.log(MISS) / math.log1p(-((1 - DIFFER) ** bits))) if bits else 1
+    return np.random.default_rng(5).permuted(np.tile(np.arange(BITS), (keys, 1)), axis=1)[:, :bits]
+
+
+def keys_of(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The keys of fingerprints (a row each), as many as ``places`` has rows; keys of different rows do not meet."""
+    keys, bits = places.shape
+    packed = np.packbits(np.unpackbits(prints, axis=1, bitorder="little")[:, places.ravel()].reshape(len(prints), keys, bits), axis=2, bitorder="little")
+    wide = np.zeros((len(prints), keys, 8), dtype=np.uint8)
+    wide[:, :, : packed.shape[2]] = packed
+    return wide.view(np.int64)[:, :, 0] + (np.arange(keys, dtype=np.int64) << 40)
+
+
+def bands(marks: np.ndarray, texts: int = 1 << 18) -> np.ndarray:
+    """The keys, among so many texts, of a shingle set that is not empty."""
+    return keys_of(fingerprint(marks)[None], sampled(texts))[0]
+
+
+def close(prints: np.ndarray) -> list[tuple[int, int]]:
+    """Links (positions) between rows of COMPARED bits (as 64-bit words) that connect exactly what all pairs at most DISTANCE apart connect.
+
+    They go from the first row of each component to its others, so that the
+    files that hold the same texts give much the same links.
+    """
+    n = len(prints)
+    first = np.ascontiguousarray(prints[:, 0])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    pairs = 0
+    for at in range(0, n - 1, 256):
+        x, y = np.nonzero(np.bitwise_count(first[at : at + 256, None] ^ first[None, at:]) <= GLANCE)
+        x, y = x[x < y] + at, y[x < y] + at
+        near = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64) <= DISTANCE
+        pairs += int(near.sum())
+        if pairs > 4 * n:
+            return _search(prints)
+        for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+            i, j = root(i), root(j)
+            parent[max(i, j)] = min(i, j)
+    return [(r, x) for x in list(parent) if (r := root(x)) != x]
+
+
+def _search(prints: np.ndarray) -> list[tuple[int, int]]:
+    """As ``close``, where pairs are many: a row is compared only with those not yet reached."""
+    out: list[tuple[int, int]] = []
+    rest = np.arange(len(prints))
+    while len(rest) > 1:
+        seed, rest = int(rest[0]), rest[1:]
+        stack = [seed]
+        while stack and len(rest):
+            near = np.bitwise_count(prints[rest] ^ prints[stack.pop()]).sum(axis=1, dtype=np.int64) <= DISTANCE
+            found = rest[near].tolist()
+            out.extend((seed, b) for b in found)
+            stack.extend(found)
+            rest = rest[~near]
+    return out
 
 
 def alike(sets: list[np.ndarray], likeness: float = LIKENESS) -> list[tuple[int, int]]:
@@ -89,7 +171,7 @@ def alike(sets: list[np.ndarray], likeness: float = LIKENESS) -> list[tuple[int,
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, carried: tuple[str, ...]) -> DataFrame:
-    """id, fp (XXH64 of the shingle set), keys (of its bands), body (XXH64 of the text) and the ``carried`` columns of every row."""
+    """id, fp (XXH64 of the shingle set), print (its SimHash; null without a word), body (XXH64 of the text) and the ``carried`` columns of every row."""
     import xxhash
 
     short_batches(docs.sparkSession)
@@ -98,11 +180,72 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, carried: t
         for b in batches:
             sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), keys, *b.columns[2:]], names=["id", "fp", "keys", *b.schema.names[2:]])
+            prints = pa.array([fingerprint(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), prints, *b.columns[2:]], names=["id", "fp", "print", *b.schema.names[2:]])
 
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.xxhash64(utf8(text_col)).alias("body"), *[F.col(c) for c in carried])
-    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), *rows.schema[2:]]))
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("fp", LongType()), StructField("print", BinaryType()), *rows.schema[2:]]))
+
+
+def near(prints: DataFrame) -> DataFrame:
+    """Links a, b between fingerprints (fp, a name; print), each held once: at most DISTANCE bits apart and alike in a key.
+
+    ``prints`` is read more than once. Whatever a file's size, no task holds
+    more than two chunks of it, and few links are returned for each member.
+    """
+    short_batches(prints.sparkSession)
+    places = sampled(prints.count())
+    names = ["fp", *(f"w{i}" for i in range(COMPARED // 64))]
+
+    def filed(whole: bool) -> DataFrame:
+        """One row for each key of each fingerprint, with the bits to compare if ``whole``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                bits = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+                columns = [b.column(0).to_numpy(), *bits.view(np.int64).T[: COMPARED // 64]] if whole else []
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys_of(bits, places).ravel(), *(np.repeat(c, len(places)) for c in columns))], names=["key", *names[: len(columns)]])
+
+        return prints.select("fp", "print").mapInArrow(run, ", ".join(f"{c} long" for c in ["key", *names[: len(names) * whole]]))
+
+    large = materialise(filed(False).groupBy("key").agg(F.ceil(F.count("*") / FILE_CHUNK).cast("bigint").alias("parts")).where("parts > 1"), "neardup-files")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+    dealt = filed(True)
+    if large.head(1):  # at most one for each chunk of the fingerprints
+        dealt = (
+            dealt.join(large, "key", "left")
+            .withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+            .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")))
+            .select("key", "parts", "own", other.alias("other"), *names)
+            .withColumn("key", F.when(F.col("parts") > 1, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("key")))
+            .select("key", *names)
+        )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by file; each file is searched once its last row is in."""
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(np.column_stack([c.to_numpy() for c in b.columns]))
+            if sum(map(len, held)) < 4 * FILE_CHUNK:
+                continue
+            rows = np.concatenate(held)
+            last = np.searchsorted(rows[:, 0], rows[-1, 0])
+            held = [rows[last:]]
+            yield found(rows[:last])
+        if held:
+            yield found(np.concatenate(held))
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        edge = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist(), len(rows)]
+        words = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        pairs = [np.array(stars) + at for at, end in pairwise(edge) if end - at > 1 and (stars := close(words[at:end]))]
+        pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[pairs[:, i], 1]) for i in (0, 1)], names=["a", "b"])
+
+    links = dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(search, "a long, b long")
+    return links.distinct()
 
 
 def _links(sets: DataFrame, likeness: float) -> DataFrame:
@@ -144,15 +287,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 
     Texts with equal shingle sets are alike, those without a word too. Null ids
     and repeated rows are as in ``simhash.keep_one``; an empty table gives no
-    rows. Only keys are dealt out, and the shingle sets of one row of each set
-    that may be like another; texts stay where they are.
+    rows. Only fingerprints are dealt out, and the shingle sets of one row of
+    each set that may be like another; texts stay where they are.
     """
     short_batches(docs.sparkSession)
     rows, file, at = with_places(docs)
     marks = materialise(_marks(rows, id_col, text_col, shingle, (file, at)), "neardup-marks")
-    filed = marks.select("fp", F.explode("keys").alias("key"))
-    shared = materialise(filed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most"), "neardup-shared")
-    loose = components(filed.join(shared, "key").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
+    prints = materialise(marks.where("print IS NOT NULL").groupBy("fp").agg(F.first("print").alias("print")), "neardup-prints")
+    loose = components(near(prints))
     grouped = loose.unionAll(loose.select(F.col("root"), "root").distinct()).select(F.col("node").alias("fp"), F.col("root").alias("group"))
     # The texts of one row of each set in a group are read again: their sets are exact, and only these are dealt out.
     first = materialise(marks.groupBy("fp").agg(F.min(F.struct(F.col(file).alias("file"), F.col(at).alias("at"))).alias("first")), "neardup-first")
