@@ -19,8 +19,8 @@ _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _ODD = re.compile(f"[^\\n -~{_L}¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€]")
 _ODD_ASCII = re.compile("[^\\n -~]")
 _PARTS = re.compile(f" ?[{_L}]+|[^{_L}]+")
-#: Entries of each cache, some 150 MB in all when full; a full cache is kept as it is.
-CACHE = 350_000
+#: Entries of a cache of words, and of runs of letters amid signs; some 150 MB in all when full. A full cache is kept as it is.
+CACHE, PIECES = 600_000, 100_000
 
 
 @lru_cache(maxsize=4)
@@ -33,11 +33,14 @@ def _word_cache(encoder: Encoder, before: str = "") -> dict[str, bytes]:
     """Word -> ids, made when first asked for and kept while there is room. ``before`` stands ahead of each word."""
     table, model, letters, signs, whole, room = encoder.table, encoder.model, encoder.letters, encoder.signs, encoder.whole, CACHE
 
+    def made(piece: str) -> bytes:
+        return array("I", [t.id for t in model(piece)]).tobytes()
+
     def of_letters(piece: str) -> bytes:
         ids = letters.get(piece)
         if ids is None:
-            ids = array("I", [t.id for t in model(piece)]).tobytes()
-            if len(letters) < room:
+            ids = made(piece)
+            if len(letters) < PIECES:
                 letters[piece] = ids
         return ids
 
@@ -45,9 +48,14 @@ def _word_cache(encoder: Encoder, before: str = "") -> dict[str, bytes]:
         def __missing__(self, key: str) -> bytes:
             word = before + key
             if key.isalpha():
-                ids = of_letters(word.translate(table))
+                piece = word.translate(table)
+                ids = self.get(piece) if not before and piece != key and piece.translate(table) == piece else None
+                if ids is None:
+                    ids = made(piece)
             elif "'" in word or "\n\n" in word:
                 ids = whole(word)
+            elif key[:-1].isalpha():  # a word, which stands here by itself too, and its sign
+                ids = self[key[:-1]] + signs(key[-1])
             else:
                 ids = b"".join([of_letters(p.translate(table)) if p[-1].isalpha() else signs(p) for p in _PARTS.findall(word)])
             if len(self) < room:
