@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import prefix_sums, short_batches
@@ -79,12 +79,12 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encode, compress = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=LEVEL).compress
+        encode, compress = encoder(tokenizer).encode_all, zstandard.ZstdCompressor(level=LEVEL).compress
         sent: set[bytes] = set()
         for b in batches:
             at, out = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                raw = encode(text) + end
+            for i, ids in enumerate(encode(b.column(1).to_pylist())):
+                raw = ids + end
                 begin, digests, lengths = 0, [], []
                 for stop in cuts(np.frombuffer(raw, dtype="<u4")):
                     part = raw[4 * begin : 4 * stop]
@@ -119,19 +119,10 @@ def write_store(docs: DataFrame, tokenizer: str, where: str, id_col: str = "doc_
     encoded = _encoded(docs, tokenizer, id_col, text_col, end_id)
     # A chunk's copies meet by digest, recipes are dealt by content, and both leave in one pass.
     deal = F.when(F.col("kind") == "chunks", F.xxhash64("key")).otherwise(F.xxhash64("root", "doc_id"))
-    dealt = encoded.repartition(deal).sortWithinPartitions("kind", "key")
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            keep = []
-            for kind, key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                keep.append(kind != "chunks" or key != last)
-                last = key
-            yield b.filter(pa.array(keep, pa.bool_()))
-
+    dealt = encoded.withColumn("deal", deal).repartition("deal")
+    copy = F.row_number().over(Window.partitionBy("kind", "key", "deal").orderBy("n_tokens"))
     packs = f"{where}/packs"
-    dealt.mapInArrow(first, encoded.schema).write.partitionBy("kind").parquet(packs)
+    dealt.withColumn("copy", copy).where("kind = 'recipes' or copy = 1").drop("deal", "copy").write.partitionBy("kind").parquet(packs)
     recipes = spark.read.schema(encoded.schema).parquet(packs).where("kind = 'recipes'").select("doc_id", "n_tokens", "digests", "lengths", "root")
     placed = prefix_sums(recipes, [F.col("doc_id"), F.col("root")], "n_tokens", "store-recipes").withColumnRenamed("before", "start")
     placed.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{where}/recipes")
